@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import xxhash
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +98,20 @@ def chunks(texts: list[str], chars: int = 2_000_000):
             size += len(texts[at])
             at += 1
         yield texts[begun:at]
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_words(words: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n word hashes."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        out = out * _BASE + h[k : len(h) - n + 1 + k]
+    return out ^ (out >> np.uint64(29))

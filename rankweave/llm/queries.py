@@ -136,5 +136,64 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_toxicity, op6_url_filters, op7_quality_rules, op8_packing, op9_quality, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_quality_rules": _op7_sql()}
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"), n=5, similarity=(4, 5))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_recurring_lines
+
+    out = drop_recurring_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS t, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), masked AS (
+  SELECT doc_id, pos, line, CASE WHEN regexp_matches(line, '[0-9]') THEN regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') ELSE line END AS m FROM lines
+), words AS (
+  SELECT doc_id, pos, line, m, list_filter(regexp_split_to_array(m, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM masked
+), keyed AS (
+  SELECT *, len(w)::VARCHAR || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM words WHERE len(w) >= 5
+), kinds AS (
+  SELECT leaf, w, count(*) AS docs, min(doc_id) AS first, max(doc_id) AS final FROM (SELECT DISTINCT doc_id, m, leaf, w FROM keyed) GROUP BY leaf, w
+), several AS (
+  SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 2
+), places AS (
+  SELECT leaf, w, docs, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM kinds WHERE leaf IN (SELECT leaf FROM several)
+), common AS (
+  SELECT leaf, pos, word, sum(docs) AS n FROM places GROUP BY ALL HAVING sum(docs) >= 2
+), marked AS (
+  SELECT p.leaf, p.w, list(CASE WHEN c.n IS NULL THEN '<*>' ELSE p.word END ORDER BY p.pos) AS template, avg((c.n IS NOT NULL AND p.word <> '<*>')::INT) AS constant
+  FROM places p LEFT JOIN common c USING (leaf, pos, word) GROUP BY p.leaf, p.w
+), of_template AS (
+  SELECT leaf, w, template, docs, first, final FROM marked JOIN kinds USING (leaf, w) WHERE constant >= 0.7
+), general AS (
+  SELECT leaf, template, min(first) AS first FROM of_template GROUP BY ALL HAVING sum(docs) >= 2 AND min(first) <> max(final)
+), recurring AS (
+  SELECT leaf, w, min(first) AS first FROM (
+    SELECT leaf, w, first FROM kinds WHERE docs >= 2 AND first <> final
+    UNION ALL SELECT o.leaf, o.w, g.first FROM of_template o JOIN general g USING (leaf, template)
+  ) GROUP BY leaf, w
+), lost AS (
+  SELECT k.doc_id, k.pos FROM keyed k JOIN recurring r USING (leaf, w) WHERE k.doc_id > r.first
+)
+SELECT doc_id, count(*) AS n_lines, count(lost.pos) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (lost.pos IS NULL), '')) AS text_md5
+FROM lines LEFT JOIN lost USING (doc_id, pos) GROUP BY doc_id
+"""
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op6_url_filters, op7_quality_rules, op8_packing, op9_quality, op10_warc)
+}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": _op7_sql()}

@@ -43,7 +43,7 @@ def _key(labels: Column) -> Column:
     return F.concat(F.array_join(labels, _AFTER_LABEL), F.lit(_AFTER_LABEL))
 
 
-def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str = "allow", part_rows: int = 20_000) -> DataFrame:
+def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str = "allow", part_rows: int = 5_000) -> DataFrame:
     """df with host, path, rule (the rule's host and path, null where none fits) and verdict (the rule's, else `otherwise`).
 
     rules: host, path, verdict (block or allow). A rule fits its host and all subdomains, where the url's path starts with
@@ -83,12 +83,14 @@ def _swept(urls: DataFrame, ends: DataFrame, kept: list[str], hashed: list[str],
     apart = urls.filter(F.length("host") == 0)
     top = _labels(F.col("host"))[0]
     # How many parts each top-level label is dealt into; labels without rules need no sweep, but are cheap to take along.
-    parts = swept.groupBy(top.alias("top")).agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))
+    # A part has at least as many urls as its label has interval ends, so copying these costs no more than the urls themselves.
+    ends_of = ends.groupBy("top").agg(F.count("*").alias("ends"))
+    parts = swept.groupBy(top.alias("top")).agg(F.count("*").alias("n")).join(ends_of, "top", "left").select("top", F.ceil(F.col("n") / F.greatest(F.lit(part_rows), F.coalesce("ends", F.lit(0)))).cast("int").alias("parts"))
     salted = swept.select("row", "host", "path", top.alias("top")).join(parts, "top").select(
         "top", F.pmod(F.xxhash64("host", "path", *hashed), F.col("parts")).cast("int").alias("part"), _key(_labels(F.col("host"))).alias("key"), F.lit(2).alias("kind"), "row", "host", "path"
     )
     events = ends.join(parts, "top").select("top", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "e.key", "e.kind", F.col("e.active").alias("active"))
-    both = salted.unionByName(events, allowMissingColumns=True)
+    both = salted.unionByName(events, allowMissingColumns=True).repartition("top", "part")  # by both: a label alone would meet in one task
     sweep = Window.partitionBy("top", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = both.withColumn("active", F.last("active", ignorenulls=True).over(sweep)).filter("kind = 2")
     fits = F.filter("active", lambda r: F.col("path").startswith(r["path"]) & ((F.col("host") == r["host"]) | F.col("host").endswith(F.concat(F.lit("."), r["host"]))))
