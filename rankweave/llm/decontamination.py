@@ -18,11 +18,25 @@ from pyspark.sql import functions as F
 
 from .common import BatchMemo, chunks, clean_text, gram_hashes, hash_words, written
 
-_WORDS = re.compile(r"\w+")
+_MARKS = re.compile(r"\W+")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+def bare(word: str) -> str:
+    """A run of other than white space, in lower case, with its letters, digits and _ only."""
+    return word.lower() if word.isalnum() else _MARKS.sub("", word.lower())
+
+
+def hash_bare(words: list[str]) -> list[int]:
+    """Hashes of the bare words; 0 where nothing is left."""
+    cut = list(map(bare, words))
+    return [h if b else 0 for b, h in zip(cut, hash_words(cut), strict=True)]
+
+
+def hashes_of(text: str, memo=None) -> np.ndarray:
+    """Hashes of a text's words, those without a letter or digit left out."""
+    words = text.split()
+    h = np.fromiter(map(memo.__getitem__, words) if memo is not None else hash_bare(words), np.uint64, len(words))
+    return h[h != 0]
 
 
 def align(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -1.0, gap: float = -1.0) -> float:
@@ -41,8 +55,8 @@ def align(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -1
 def contaminated(df: DataFrame, items: DataFrame, n: int = 4, rare: float = 4.0, share: float = 0.5, run: int = 30, block_items: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item that it has a copy of: doc_id, item_id, score (of the alignment, in words), share (of the item's length).
 
-    A copy aligns with a score of at least `share` of the item's words, or of at least `run` words. Words are runs of letters, digits
-    and _, in lower case. Items of fewer than n words are found in no text, nor is anything in null or empty texts. Rows with one id
+    A copy aligns with a score of at least `share` of the item's words, or of at least `run` words. Words are runs of other than
+    white space, in lower case and without marks; those of marks alone don't count. Items of fewer than n words are found in no text, nor is anything in null or empty texts. Rows with one id
     are one document (the best score counts); those with a null id are one too, as are items with one id.
     Memory: a task holds the seeds of block_items items, and one text."""
     spark = df.sparkSession
@@ -62,7 +76,7 @@ def _block(spark, docs: DataFrame, items: DataFrame, n: int, rare: float, share:
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
-                h = np.array(hash_words(words_of(text)), np.uint64)
+                h = hashes_of(text)
                 rows.append((None if item != item else item, h.tobytes(), len(h), np.unique(gram_hashes(h, n)).view(np.int64).tolist()))
             yield pd.DataFrame(rows, columns=["item_id", "words", "n", "seeds"]).astype({"item_id": "Int64"})
 
@@ -76,15 +90,14 @@ def _block(spark, docs: DataFrame, items: DataFrame, n: int, rare: float, share:
         table = shared.value
         coarse = np.zeros(1 << 20, bool)  # most n-grams end here
         coarse[(table >> np.uint64(44)).astype(np.int64)] = True
-        memo = BatchMemo(hash_words, most=400_000)
+        memo = BatchMemo(hash_bare, most=400_000)
         for pdf in batches:
             ids, rows = pdf["doc_id"].tolist(), []
             at = 0
             for texts in chunks(pdf["text"].tolist()):
-                split = [words_of(t) for t in texts]
-                memo.know({w for ws in split for w in ws})
-                for ws in split:
-                    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+                memo.know({w for t in texts for w in t.split()})
+                for text in texts:
+                    h = hashes_of(text, memo)
                     grams = gram_hashes(h, n)
                     maybe = np.nonzero(coarse[(grams >> np.uint64(44)).astype(np.int64)])[0]
                     hits = maybe[np.isin(grams[maybe], table)] if len(maybe) else maybe
