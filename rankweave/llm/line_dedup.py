@@ -54,13 +54,17 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), ident.alias("ident"))
     docs = df.select(order.alias("doc"), F.split(text, "\n").alias("lines"))
 
-    # 1. Documents and first document of each line that is different after masking.
-    once = _keyed(docs.select("doc", F.explode(F.array_distinct(F.transform("lines", _masked))).alias("line")), depth, min_words)
-    lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last")), "lines")
+    # 1. Leaf and hash of every line, then documents and first document of each different line, and a place to find it.
+    placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", _masked(F.col("raw")).alias("line")), depth, min_words)
+    placed = written(placed.select("doc", "at", "leaf", "hash"), "placed")
+    once = placed.groupBy("doc", "leaf", "hash").agg(F.min("at").alias("at"))
+    lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where"), F.max("doc").alias("last")).withColumn("first", F.col("where.doc")), "lines")
 
-    # 2. Templates of the leaves in which several lines meet.
+    # 2. Templates of the leaves in which several lines meet; the words of each such line are read at its first place.
     several = written(lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "leaves")
-    met = once.select("leaf", "hash", "words").join(_small(several), "leaf", "left_semi").groupBy("leaf", "hash").agg(F.first("words").alias("words"))
+    sought = written(lines.join(_small(several), "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
+    found = df.select(ident.alias("ident"), F.split(text, "\n").alias("lines")).join(_small(sought), "ident").select("lines", F.explode("sought").alias("s"))
+    met = _keyed(found.select(_masked(F.get("lines", F.col("s.at"))).alias("line")), depth, min_words).groupBy("leaf", "hash").agg(F.first("words").alias("words"))
     met = written(met, "met").join(lines, ["leaf", "hash"])
     places = written(met.select("leaf", "hash", "docs", F.posexplode("words").alias("at", "word")), "places")
     common = places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("with")).filter(F.col("with") >= min_docs)
@@ -77,7 +81,6 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     recurring = written(own.unionByName(general).groupBy("leaf", "hash").agg(F.min("first").alias("first")), "recurring")
 
     # 4. What each document loses.
-    placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", _masked(F.col("raw")).alias("line")), depth, min_words).select("doc", "at", "leaf", "hash")
     lost = placed.join(_small(recurring), ["leaf", "hash"]).filter(F.col("doc") > F.col("first")).groupBy(F.col("doc.ident").alias("__ident")).agg(F.array_distinct(F.collect_list("at")).alias("__lost"))
     lost = written(lost, "lost")
     out = df.withColumn("__ident", ident).join(lost, "__ident", "left")

@@ -159,7 +159,7 @@ WITH lines AS (
 ), keyed AS (
   SELECT *, len(w)::VARCHAR || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM words WHERE len(w) >= 5
 ), kinds AS (
-  SELECT leaf, w, count(*) AS docs, min(doc_id) AS first, max(doc_id) AS final FROM (SELECT DISTINCT doc_id, m, leaf, w FROM keyed) GROUP BY leaf, w
+  SELECT leaf, w, count(*) AS docs, min(doc_id) AS first, max(doc_id) AS final FROM (SELECT DISTINCT doc_id, leaf, w FROM keyed) GROUP BY leaf, w
 ), several AS (
   SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 2
 ), places AS (
