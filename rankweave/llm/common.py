@@ -39,6 +39,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df for a join: broadcast if it has at most `most` rows of a few numbers (counted), else left to be shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what written() wrote for frames that nothing reads any longer."""
     for df in frames:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, clean_text, written
+from .common import SPACE, clean_text, small, written
 
 FIELD = "<*>"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -36,11 +36,6 @@ def _keyed(lines: DataFrame, depth: int, min_words: int) -> DataFrame:
     )
 
 
-def _small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """df for a join: broadcast if it has at most `most` rows of a few longs (counted), else left to be shuffled."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_docs: int = 2, constant: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with its texts less the lines of recurring templates, and n_lines and n_dropped (replaced if df has them).
 
@@ -62,8 +57,8 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
 
     # 2. Templates of the leaves in which several lines meet; the words of each such line are read at its first place.
     several = written(lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "leaves")
-    sought = written(lines.join(_small(several), "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
-    found = df.select(ident.alias("ident"), F.split(text, "\n").alias("lines")).join(_small(sought), "ident").select("lines", F.explode("sought").alias("s"))
+    sought = written(lines.join(small(several), "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
+    found = df.select(ident.alias("ident"), F.split(text, "\n").alias("lines")).join(small(sought), "ident").select("lines", F.explode("sought").alias("s"))
     met = _keyed(found.select(_masked(F.get("lines", F.col("s.at"))).alias("line")), depth, min_words).groupBy("leaf", "hash").agg(F.first("words").alias("words"))
     met = written(met, "met").join(lines, ["leaf", "hash"])
     places = written(met.select("leaf", "hash", "docs", F.posexplode("words").alias("at", "word")), "places")
@@ -81,7 +76,7 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     recurring = written(own.unionByName(general).groupBy("leaf", "hash").agg(F.min("first").alias("first")), "recurring")
 
     # 4. What each document loses.
-    lost = placed.join(_small(recurring), ["leaf", "hash"]).filter(F.col("doc") > F.col("first")).groupBy(F.col("doc.ident").alias("__ident")).agg(F.array_distinct(F.collect_list("at")).alias("__lost"))
+    lost = placed.join(small(recurring), ["leaf", "hash"]).filter(F.col("doc") > F.col("first")).groupBy(F.col("doc.ident").alias("__ident")).agg(F.array_distinct(F.collect_list("at")).alias("__lost"))
     lost = written(lost, "lost")
     out = df.withColumn("__ident", ident).join(lost, "__ident", "left")
     lines_of = F.split(text, "\n")
