@@ -179,7 +179,10 @@ class ToxicityScorer:
 
 
 def learn_lexicon(texts: list[str], labels: list[int], least_docs: int = 8, least_odds: float = 8.0, most_terms: int = 2000) -> tuple[dict[str, float], frozenset]:
-    """Terms and stems with the log of how much more often toxic documents have them, and the innocent near misses."""
+    """Terms and stems with the log of how much more often toxic documents have them, and the innocent near misses.
+
+    A term must be more than chance among so many words: Chernoff's bound on its documents being toxic so often,
+    times the number of words, stays below a tenth."""
     docs = [({b for w in set(t.split()) if (b := bare(w))}, y) for t, y in zip(texts, labels, strict=True)]
     n = Counter(y for _, y in docs)
     if not n[0] or not n[1]:
@@ -192,7 +195,13 @@ def learn_lexicon(texts: list[str], labels: list[int], least_docs: int = 8, leas
             stem[s][y] += 1
     odds = lambda c: ((c[1] + 0.1) / (n[1] + 0.2)) / ((c[0] + 0.5) / (n[0] + 1))
     least_docs = max(3, min(least_docs, n[1] // 40))  # fewer where the sample is small
-    good = {w: odds(c) for w, c in word.items() if c[1] >= least_docs and len(w) >= 4 and odds(c) >= least_odds}
+    share, tries = n[1] / (n[0] + n[1]), np.log(10 * len(word))
+
+    def certain(c: list[int]) -> bool:
+        kl = sum(k * np.log(k / (c[0] + c[1]) / p) for k, p in ((c[1], share), (c[0], 1 - share)) if k)
+        return kl >= tries
+
+    good = {w: odds(c) for w, c in word.items() if c[1] >= least_docs and len(w) >= 4 and odds(c) >= least_odds and certain(c)}
     for w in word:
         for k in range(4, min(len(w), 9)):
             if w[:k] in stem:
@@ -200,7 +209,7 @@ def learn_lexicon(texts: list[str], labels: list[int], least_docs: int = 8, leas
     stems: dict[str, float] = {}
     for s, c in sorted(stem.items(), key=lambda x: (len(x[0]), x[0])):
         # a stem stands for many endings; one word with its own endings (idiot, idiots) stays a word
-        if c[1] >= 2 * least_docs and odds(c) >= least_odds and len(kinds[s]) >= 4 and not any(s[:k] in stems for k in range(4, len(s))):
+        if c[1] >= 2 * least_docs and odds(c) >= least_odds and certain(c) and len(kinds[s]) >= 4 and not any(s[:k] in stems for k in range(4, len(s))):
             if max(word[w][1] for w in kinds[s]) < 0.7 * c[1]:
                 stems[s] = odds(c)
     terms = {w: o for w, o in good.items() if not any(w[:k] in stems for k in range(4, len(w)))} | {s + "*": o for s, o in stems.items()}
