@@ -8,7 +8,6 @@ seeds, since rarity is relative to the item's own). Each pair is aligned locally
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +15,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BatchMemo, chunks, clean_text, gram_hashes, hash_words, written
+from .common import chunks, clean_text, gram_hashes, written
 
-_MARKS = re.compile(r"\W+")
+_CLASSES: list[np.ndarray] = []
 
 
-def bare(word: str) -> str:
-    """A run of other than white space, in lower case, with its letters, digits and _ only."""
-    return word.lower() if word.isalnum() else _MARKS.sub("", word.lower())
+def _classes() -> np.ndarray:
+    """Per code point: 0 white space, 1 a mark, 2 a letter, digit or _ (made once per process)."""
+    if not _CLASSES:
+        _CLASSES.append(np.fromiter((0 if (c := chr(i)).isspace() else 1 + (c.isalnum() or c == "_") for i in range(0x110000)), np.uint8, 0x110000))
+    return _CLASSES[0]
 
 
-def hash_bare(words: list[str]) -> list[int]:
-    """Hashes of the bare words; 0 where nothing is left."""
-    cut = list(map(bare, words))
-    return [h if b else 0 for b, h in zip(cut, hash_words(cut), strict=True)]
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words, one text after the other, and the text that each word is of.
 
+    Words are runs of other than white space, in lower case, with their letters, digits and _ only; those with nothing left are left out.
+    All texts go through numpy together, a few operations per code point."""
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _classes()[codes]
+    at = np.flatnonzero(kinds == 2)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    word = np.cumsum(kinds == 0, dtype=np.int32)[at]  # runs of one number have no white space between them
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    place = np.arange(len(at), dtype=np.int64) - np.repeat(begins, np.diff(begins, append=len(at)))
+    powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(int(place.max()), 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)])
+    letters = codes[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    letters ^= letters >> np.uint64(32)
+    h = np.add.reduceat(letters * powers[place], begins)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    ends = np.cumsum([len(t) + 1 for t in low])
+    return h ^ (h >> np.uint64(29)), np.searchsorted(ends, at[begins], side="right")
 
-def hashes_of(text: str, memo=None) -> np.ndarray:
-    """Hashes of a text's words, those without a letter or digit left out."""
-    words = text.split()
-    h = np.fromiter(map(memo.__getitem__, words) if memo is not None else hash_bare(words), np.uint64, len(words))
-    return h[h != 0]
+
+def hashes_of(text: str) -> np.ndarray:
+    return words_of([text])[0]
 
 
 def align(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -1.0, gap: float = -1.0) -> float:
@@ -90,23 +105,23 @@ def _block(spark, docs: DataFrame, items: DataFrame, n: int, rare: float, share:
         table = shared.value
         coarse = np.zeros(1 << 20, bool)  # most n-grams end here
         coarse[(table >> np.uint64(44)).astype(np.int64)] = True
-        memo = BatchMemo(hash_bare, most=400_000)
         for pdf in batches:
             ids, rows = pdf["doc_id"].tolist(), []
-            at = 0
-            for texts in chunks(pdf["text"].tolist()):
-                memo.know({w for t in texts for w in t.split()})
-                for text in texts:
-                    h = hashes_of(text, memo)
-                    grams = gram_hashes(h, n)
-                    maybe = np.nonzero(coarse[(grams >> np.uint64(44)).astype(np.int64)])[0]
-                    hits = maybe[np.isin(grams[maybe], table)] if len(maybe) else maybe
-                    if len(hits):
-                        doc = ids[at]
-                        for run_ in np.split(hits, np.nonzero(np.diff(hits) > longest)[0] + 1):  # seeds far apart are passages of their own
-                            lo, hi = max(0, run_[0] - longest), run_[-1] + n + longest
-                            rows.append((None if doc != doc or doc is None else int(doc), h[lo:hi].tobytes(), np.unique(grams[run_]).view(np.int64).tolist()))
-                    at += 1
+            begun = 0
+            for texts in chunks(pdf["text"].tolist(), 1_000_000):
+                h, of = words_of(texts)
+                grams = gram_hashes(h, n)
+                maybe = np.flatnonzero(coarse[(grams >> np.uint64(44)).astype(np.int64)])
+                maybe = maybe[of[maybe] == of[maybe + n - 1]]  # within one text
+                hits = maybe[np.isin(grams[maybe], table)]
+                cuts = np.flatnonzero((np.diff(hits) > longest) | (np.diff(of[hits]) > 0)) + 1  # seeds far apart are passages of their own
+                for run_ in np.split(hits, cuts) if len(hits) else ():
+                    text = of[run_[0]]
+                    first, end = np.searchsorted(of, [text, text + 1])
+                    lo, hi = max(first, run_[0] - longest), min(end, run_[-1] + n + longest)
+                    doc = ids[begun + text]
+                    rows.append((None if doc != doc or doc is None else int(doc), h[lo:hi].tobytes(), np.unique(grams[run_]).view(np.int64).tolist()))
+                begun += len(texts)
             yield pd.DataFrame(rows, columns=["doc_id", "words", "seeds"]).astype({"doc_id": "Int64"})
 
     passages = written(docs.mapInPandas(search, "doc_id long, words binary, seeds array<long>").withColumn("passage", F.xxhash64("doc_id", "words", "seeds")), "passages")
