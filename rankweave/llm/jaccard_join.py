@@ -2,8 +2,9 @@
 
 Texts become sets of word n-grams, and sets become minhash signatures. A run starts with all sets at the root;
 at each node a set goes to the children of sampled signature entries, by a hash that all sets at the node share, so that
-similar sets go the same ways. Nodes of few sets are leaves. A node that its child hardly shrinks is dense: its sets
-are alike, and it is a leaf too, compared in blocks if it is large. Runs repeat until a pair at the threshold meets in
+similar sets go the same ways. Nodes of few sets are leaves. A node whose sets agree in most signature entries, or that
+hardly shrank from the node above, is dense: splitting it would only copy it, so it is a leaf too, compared in blocks if it is
+large. Runs repeat until a pair at the threshold meets in
 some leaf with the target recall.
 
 Within a leaf, sketches pick pairs, and the n-gram sets themselves decide. A pair that meets in several leaves belongs to
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BatchMemo, chunks, clean_text, gram_hashes, hash_words, written
@@ -31,6 +32,7 @@ LEAST_AGREE = 35
 _A = np.random.default_rng(11).integers(1, 1 << 63, ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LAST = np.iinfo(np.int64).max
+BITS = 16  # of a signature, one of each of its first entries, by which a node's density is told
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,6 +81,19 @@ def _children(paths: np.ndarray, signatures: np.ndarray, chance: float) -> tuple
     return row, _mixed(h[row, col] + np.uint64(1)).view(np.int64)
 
 
+def _bits(signatures: np.ndarray) -> np.ndarray:
+    """The lowest bit of each of the first BITS entries."""
+    return ((signatures[:, :BITS] & 1).astype(np.int32) << np.arange(BITS, dtype=np.int32)).sum(1, dtype=np.int32)
+
+
+def _agreement() -> Column:
+    """How alike the sets of a node are, as an aggregate: the mean square of what one value of a bit is ahead of the other.
+
+    It is about the share of pairs with equal entries: near 0 for unlike sets, and at least 0.6 where pairs are of similarity 0.8."""
+    ahead = [2 * F.avg(F.shiftright("bits", k).bitwiseAND(1)) - 1 for k in range(BITS)]
+    return sum((a * a for a in ahead[1:]), ahead[0] * ahead[0]) / BITS
+
+
 def _whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
     """The rows of sorted batches, cut only between groups."""
     held: list[pd.DataFrame] = []
@@ -196,9 +211,10 @@ def jaccard_classes(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (4,
             for a in range(0, len(pdf), 2000):
                 part = pdf.iloc[a : a + 2000]
                 sig = np.frombuffer(b"".join(part["signature"]), np.uint16).reshape(len(part), ENTRIES)
+                bits = _bits(sig)
                 for r in range(runs):
                     row, child = _children(np.full(len(part), r + 1, np.uint64), sig, chance)
-                    yield pd.DataFrame({"bucket": child, "key": part["key"].to_numpy()[row], "above": _LAST})
+                    yield pd.DataFrame({"bucket": child, "key": part["key"].to_numpy()[row], "above": _LAST, "bits": bits[row]})
 
     def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -206,15 +222,15 @@ def jaccard_classes(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (4,
                 part = pdf.iloc[a : a + 2000]
                 sig = np.frombuffer(b"".join(part["signature"]), np.uint16).reshape(len(part), ENTRIES)
                 row, child = _children(part["bucket"].to_numpy().view(np.uint64), sig, chance)
-                yield pd.DataFrame({"bucket": child, "key": part["key"].to_numpy()[row], "above": part["m"].to_numpy()[row]})
+                yield pd.DataFrame({"bucket": child, "key": part["key"].to_numpy()[row], "above": part["m"].to_numpy()[row], "bits": _bits(sig)[row]})
 
-    rows_of = "bucket long, key binary, above long"
+    rows_of = "bucket long, key binary, above long, bits int"
     at = nodes.filter("n > 0").select("key", "signature").mapInPandas(begin, rows_of)
     leaves = None
     for level in range(1, levels + 1):
         at = written(at, "paths")
-        sizes = at.groupBy("bucket").agg(F.count("*").alias("m"), F.max("above").alias("above")).filter("m > 1")
-        is_leaf = (F.col("m") <= leaf) | (F.col("m") > F.col("above") / 2) | F.lit(level == levels)
+        sizes = at.groupBy("bucket").agg(F.count("*").alias("m"), F.max("above").alias("above"), _agreement().alias("agree")).filter("m > 1")
+        is_leaf = (F.col("m") <= leaf) | (F.col("agree") > 0.5) | (F.col("m") > F.col("above") / 2) | F.lit(level == levels)
         sizes = written(sizes.select("bucket", "m", is_leaf.alias("leaf")), "sizes")
         here = at.select("bucket", "key").join(sizes.filter("leaf").select("bucket", "m"), "bucket")
         leaves = here if leaves is None else leaves.unionByName(here)
