@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, clean_text, small, written
+from .common import SPACE, SPACE_CHARS, clean_text, small, written
 
 FIELD = "<*>"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -22,17 +22,28 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 def _masked(line: Column) -> Column:
     """The line with every word that has a digit replaced by the variable field."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"{_WORD}*[0-9]{_WORD}*", FIELD)).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"(?<!{_WORD})[^\x20\x09-\x0D0-9]*+[0-9]{_WORD}*+", FIELD)).otherwise(line)
+
+
+def _spaced(line: Column) -> Column:
+    """The line with one space between words and none around them; most lines are so already and cost a few byte searches."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in ("  ", *SPACE_CHARS.replace(" ", "")):
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.trim(F.regexp_replace(line, f"{SPACE}+", " "))).otherwise(line)
 
 
 def _keyed(lines: DataFrame, depth: int, min_words: int) -> DataFrame:
-    """Rows with a masked line, and its words, leaf and hash in place of it; short lines are left out."""
+    """Rows with the line spaced and masked, and its leaf and hash; short lines are left out."""
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return (
-        lines.withColumn("words", F.array_remove(F.split("line", f"{SPACE}+"), ""))
-        .filter(F.size("words") >= min_words)
-        .withColumn("leaf", F.xxhash64(F.size("words"), F.slice("words", 1, depth)))
-        .withColumn("hash", F.xxhash64("words"))
-        .drop("line")
+        lines.withColumn("line", _spaced(F.col("line")))
+        .withColumn("n", F.when(F.col("line") == "", 0).otherwise(spaces + 1))
+        .filter(F.col("n") >= min_words)
+        .withColumn("line", _masked(F.col("line")))
+        .withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
+        .withColumn("hash", F.xxhash64("line"))
+        .drop("n")
     )
 
 
@@ -50,7 +61,7 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     docs = df.select(order.alias("doc"), F.split(text, "\n").alias("lines"))
 
     # 1. Leaf and hash of every line, then documents and first document of each different line, and a place to find it.
-    placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", _masked(F.col("raw")).alias("line")), depth, min_words)
+    placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", F.col("raw").alias("line")), depth, min_words)
     placed = written(placed.select("doc", "at", "leaf", "hash"), "placed")
     once = placed.groupBy("doc", "leaf", "hash").agg(F.min("at").alias("at"))
     lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where"), F.max("doc").alias("last")).withColumn("first", F.col("where.doc")), "lines")
@@ -59,7 +70,7 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     several = written(lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "leaves")
     sought = written(lines.join(small(several), "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
     found = df.select(ident.alias("ident"), F.split(text, "\n").alias("lines")).join(small(sought), "ident").select("lines", F.explode("sought").alias("s"))
-    met = _keyed(found.select(_masked(F.get("lines", F.col("s.at"))).alias("line")), depth, min_words).groupBy("leaf", "hash").agg(F.first("words").alias("words"))
+    met = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line")), depth, min_words).groupBy("leaf", "hash").agg(F.split(F.first("line"), " ").alias("words"))
     met = written(met, "met").join(lines, ["leaf", "hash"])
     places = written(met.select("leaf", "hash", "docs", F.posexplode("words").alias("at", "word")), "places")
     common = places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("with")).filter(F.col("with") >= min_docs)
