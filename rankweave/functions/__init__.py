@@ -1 +1,22 @@
-"""functions of rankweave."""
+"""Column functions of integer keys and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def bit_width(value: Column) -> Column:
+    """Bits of a non-negative long; 0 for 0."""
+    return F.when(value == 0, 0).otherwise(F.length(F.bin(value)))
+
+
+def varint_length(value: Column) -> Column:
+    """Bytes of a non-negative long at seven bits a byte; at least 1."""
+    return F.greatest(F.lit(1), F.ceil(bit_width(value) / 7)).cast("int")
+
+
+def sigmoid(x: Column) -> Column:
+    """1 / (1 + e^-x) without overflow for large |x|."""
+    small = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))

@@ -1 +1,43 @@
-"""streaming of rankweave."""
+"""Structured Streaming over key and event tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankweave.sources.shared import shared_dir
+
+
+def stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """The Parquet files below path, or matching it, as a stream."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def latest_updates(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """What a streaming aggregation over keys says once all present input is read.
+
+    Each batch's changed groups are written to a folder of its number, so a batch that is run again replaces itself;
+    of a group's rows the one of the last batch holds. Groups not changed in a batch are not written again."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/batch=-1")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    running = df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    others = [c for c in df.columns if c not in keys]
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__row")).select(*keys, "__row.*")
+
+
+def tumbling(events: DataFrame, width: str, late: str, by: str) -> DataFrame:
+    """Rows and cents of value per window of event time; rows later than the watermark's delay are dropped by Spark."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = timed.groupBy(F.window("ts", width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return counted.select(F.unix_micros("w.start").alias("begin"), by, "n", "cents")
+
+
+def last_writes(changes: DataFrame, key: str, value: str, seq: str) -> DataFrame:
+    """Per key the value of the greatest seq, and how many writes there were: the state of a store under upserts."""
+    return changes.groupBy(F.col(key).alias("key")).agg(F.max_by(value, seq).alias("value"), F.count("*").alias("writes"))
