@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared n-grams (seeds) find passages, Smith-Waterman alignment scores them.
 
 Test items are taken in blocks of bounded size. For a block, every text is searched for the items' word n-grams
-(seeds); around its seeds a text yields passages, of word hashes alone. Seeds are then counted over the corpus: of
-each item those that are rare for it join passages to the item (an item leaked into many documents still has
-seeds, since rarity is relative to the item's own). Each pair is aligned locally, so that edited copies score too.
+(seeds); around its seeds a text yields passages, of word hashes alone. Each passage is aligned locally, where it
+is found, to every item that it shares a seed with, however common the seed, so that edited copies score too. Only
+pairs that can't reach the least score, since too few of the item's words are in the passage, are not aligned.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,13 +68,13 @@ def align(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -1
     return best
 
 
-def contaminated(df: DataFrame, items: DataFrame, n: int = 4, rare: float = 4.0, share: float = 0.5, run: int = 30, block_items: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(df: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, run: int = 30, block_items: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item that it has a copy of: doc_id, item_id, score (of the alignment, in words), share (of the item's length).
 
     A copy aligns with a score of at least `share` of the item's words, or of at least `run` words. Words are runs of other than
     white space, in lower case and without marks; those of marks alone don't count. Items of fewer than n words are found in no text, nor is anything in null or empty texts. Rows with one id
     are one document (the best score counts); those with a null id are one too, as are items with one id.
-    Memory: a task holds the seeds of block_items items, and one text."""
+    Memory: a task holds the words and seeds of block_items items, and one text."""
     spark = df.sparkSession
     named = items.select(F.col(item_col).cast("long").alias("item_id"), clean_text(item_text_col).alias("text"))
     numbered = written(named, "items")
@@ -81,30 +82,62 @@ def contaminated(df: DataFrame, items: DataFrame, n: int = 4, rare: float = 4.0,
     out = None
     for k in range(blocks):
         part = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = _block(spark, df.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text")), part, n, rare, share, run)
+        found = _block(spark, df.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text")), part, n, share, run)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("share").alias("share"))
 
 
-def _block(spark, docs: DataFrame, items: DataFrame, n: int, rare: float, share: float, run: int) -> DataFrame:
-    def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each range, one range after the other."""
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class Items:
+    """The items of a block that have n words, and which of them have a seed."""
+
+    def __init__(self, ids: list[int | None], words: list[np.ndarray], n: int):
+        self.ids, self.sizes = ids, np.array([len(w) for w in words], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *words])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        of = np.repeat(np.arange(len(words)), self.sizes)
+        grams = gram_hashes(self.words, n)
+        within = np.flatnonzero(of[: len(grams)] == of[n - 1 :][: len(grams)])
+        within = within[np.argsort(grams[within], kind="stable")]
+        self.seeds, self.of = grams[within], of[within].astype(np.int32)
+
+    def matches(self, passage: np.ndarray, grams: np.ndarray, share: float, run: float) -> list[tuple[int, float]]:
+        """The items with a seed among grams whose alignment with the passage has a share of the item or a score of so much."""
+        lo, hi = (np.searchsorted(self.seeds, grams, side) for side in ("left", "right"))
+        near = np.unique(self.of[_ranges(lo, hi - lo)])
+        if not len(near):
+            return []
+        sizes = self.sizes[near]
+        held = np.isin(self.words[_ranges(self.begins[near], sizes)], passage)
+        most = np.add.reduceat(held.astype(np.int64), np.cumsum(sizes) - sizes)  # no alignment scores more
+        out = []
+        for k in near[(most >= share * sizes) | (most >= run)].tolist():
+            s = align(self.words[self.begins[k] : self.begins[k] + self.sizes[k]], passage)
+            if s >= share * self.sizes[k] or s >= run:
+                out.append((k, s))
+        return out
+
+
+def _block(spark, docs: DataFrame, items: DataFrame, n: int, share: float, run: int) -> DataFrame:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
-                h = hashes_of(text)
-                rows.append((None if item != item else item, h.tobytes(), len(h), np.unique(gram_hashes(h, n)).view(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["item_id", "words", "n", "seeds"]).astype({"item_id": "Int64"})
-
-    items = written(items.mapInPandas(seeds_of, "item_id long, words binary, n long, seeds array<long>"), "seeds")
-    seeds = items.select("item_id", F.explode("seeds").alias("seed"))
-    known = seeds.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)  # those of one block of items
-    longest = int(items.agg(F.max("n")).first()[0] or 0)
-    shared = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))
+            yield pd.DataFrame({"item_id": pdf["item_id"], "words": [hashes_of(t).tobytes() for t in pdf["text"]]})
+
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInPandas(hashed, "item_id string, words binary").filter(F.octet_length("words") >= 8 * n).dropDuplicates().collect()  # those of one block of items
+    block = Items([None if r["item_id"] is None else int(r["item_id"]) for r in rows], [np.frombuffer(r["words"], np.uint64) for r in rows], n)
+    longest = int(block.sizes.max(initial=0))
+    shared = spark.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
+        block = shared.value
+        table = np.unique(block.seeds)
         coarse = np.zeros(1 << 20, bool)  # most n-grams end here
         coarse[(table >> np.uint64(44)).astype(np.int64)] = True
+        known: dict[bytes, list[tuple[int, float]]] = {}  # passages of equal words are aligned once
         for pdf in batches:
             ids, rows = pdf["doc_id"].tolist(), []
             begun = 0
@@ -120,27 +153,13 @@ def _block(spark, docs: DataFrame, items: DataFrame, n: int, rare: float, share:
                     first, end = np.searchsorted(of, [text, text + 1])
                     lo, hi = max(first, run_[0] - longest), min(end, run_[-1] + n + longest)
                     doc = ids[begun + text]
-                    rows.append((None if doc != doc or doc is None else int(doc), h[lo:hi].tobytes(), np.unique(grams[run_]).view(np.int64).tolist()))
+                    key = hashlib.blake2b(h[lo:hi].tobytes(), digest_size=16).digest()
+                    if key not in known:
+                        if len(known) >= 100_000:
+                            known.clear()
+                        known[key] = block.matches(h[lo:hi], np.unique(grams[run_]), share, run)
+                    rows += [(None if doc != doc or doc is None else int(doc), block.ids[k], s, s / block.sizes[k]) for k, s in known[key]]
                 begun += len(texts)
-            yield pd.DataFrame(rows, columns=["doc_id", "words", "seeds"]).astype({"doc_id": "Int64"})
-
-    passages = written(docs.mapInPandas(search, "doc_id long, words binary, seeds array<long>").withColumn("passage", F.xxhash64("doc_id", "words", "seeds")), "passages")
-    hits = passages.select("passage", F.explode("seeds").alias("seed"))
-    held = hits.groupBy("seed").agg(F.count("*").alias("passages"))
-    # Of each item: the passages that its rarer seeds are in set what rare means for it.
-    counted = seeds.join(held, "seed")
-    usual = counted.groupBy(F.col("item_id").alias("__of")).agg(F.percentile_approx("passages", 0.25).alias("usual"))
-    chosen = counted.join(F.broadcast(usual), F.col("item_id").eqNullSafe(F.col("__of"))).filter(F.col("passages") <= rare * F.col("usual")).select("item_id", "seed")  # usual: a row for each item of the block
-    pairs = hits.join(F.broadcast(chosen), "seed").select("passage", "item_id").distinct()  # chosen: seeds of one block of items
-    with_words = passages.select("passage", "doc_id", F.col("words").alias("doc_words")).dropDuplicates(["passage"]).join(pairs, "passage")
-    item_words = items.select("item_id", "words").dropDuplicates()
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = [align(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(pdf["words"], pdf["doc_words"], strict=True)]
-            size = np.array([len(a) // 8 for a in pdf["words"]], dtype=float)
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "item_id": pdf["item_id"].astype("Int64"), "score": s, "share": np.array(s) / np.maximum(size, 1)})
-            yield out[(out["share"] >= share) | (out["score"] >= run)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "share"]).astype({"doc_id": "Int64", "item_id": "Int64", "score": float, "share": float})
 
-    joined = with_words.join(F.broadcast(item_words.withColumnRenamed("item_id", "__item")), F.col("item_id").eqNullSafe(F.col("__item"))).select("doc_id", "item_id", "words", "doc_words")
-    return joined.mapInPandas(score, "doc_id long, item_id long, score double, share double")
+    return docs.mapInPandas(search, "doc_id long, item_id long, score double, share double")

@@ -165,6 +165,19 @@ def test_decontamination(spark, odd, empty):
     assert contaminated(odd, items).count() == 0 and contaminated(empty, items).count() == 0 and contaminated(docs, items.filter("false")).count() == 0
 
 
+def test_decontamination_of_many_edited_copies(spark):
+    rng = random.Random(9)
+    item = [f"{w}{k}" for k, w in enumerate(prose(rng, 30).split())]
+    edited = [f"changed{k}" if k in (8, 20) else w for k, w in enumerate(item)]
+    rows = [(0, " ".join(item))] + [(k, " ".join(edited)) for k in range(1, 7)]  # copies' seeds are more common than those they lack
+    rows += [(k, prose(rng, k) + " " + " ".join(edited) + " " + prose(rng, 40)) for k in range(7, 12)] + [(99, prose(rng, 200))]
+    other = [*item[:6], *prose(rng, 24).split()]  # shares seeds with all of them, and is in none
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(other)), (None, " ".join(item))], "item_id long, text string")
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == {(d, i): 26.0 if d else 30.0 for d in range(12) for i in (7, None)}
+    assert len(got) == 24 and min(r["share"] for r in got) == 26 / 30
+
+
 def test_alignment_against_the_full_table():
     rng = random.Random(3)
     for _ in range(60):
