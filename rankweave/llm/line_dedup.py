@@ -2,7 +2,8 @@
 
 A line goes down the tree by its number of words and its leading words, words with a digit counting as the
 variable field <*>. In each leaf, a word that fewer than min_docs documents have at its place is a variable
-field too; lines that then agree are one template, if enough of its fields are constant. A template that
+field too, and with min_share one that less than this share of the leaf's documents have: values of fields come to
+recur as a corpus grows, but their share stays. Lines that then agree are one template, if enough of its fields are constant. A template that
 min_docs documents have recurs: its first document keeps it, all others lose their lines of it.
 
 What is shuffled are 64-bit hashes of leaves and lines; words are shuffled only for leaves in which different
@@ -47,7 +48,7 @@ def _keyed(lines: DataFrame, depth: int, min_words: int) -> DataFrame:
     )
 
 
-def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_docs: int = 2, constant: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_docs: int = 2, constant: float = 0.7, min_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with its texts less the lines of recurring templates, and n_lines and n_dropped (replaced if df has them).
 
     Lines end at \\n; those of fewer than min_words words stay. A document is the pair of id and text: the first is the one of the
@@ -67,13 +68,16 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where"), F.max("doc").alias("last")).withColumn("first", F.col("where.doc")), "lines")
 
     # 2. Templates of the leaves in which several lines meet; the words of each such line are read at its first place.
-    several = written(lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "leaves")
-    sought = written(lines.join(small(several), "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
+    several = written(lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf", F.col("docs").alias("of")), "leaves")
+    several = small(several)
+    sought = written(lines.join(several, "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
     found = df.select(ident.alias("ident"), F.split(text, "\n").alias("lines")).join(small(sought), "ident").select("lines", F.explode("sought").alias("s"))
     met = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line")), depth, min_words).groupBy("leaf", "hash").agg(F.split(F.first("line"), " ").alias("words"))
     met = written(met, "met").join(lines, ["leaf", "hash"])
     places = written(met.select("leaf", "hash", "docs", F.posexplode("words").alias("at", "word")), "places")
     common = places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("with")).filter(F.col("with") >= min_docs)
+    if min_share:
+        common = common.join(several, "leaf").filter(F.col("with") >= min_share * F.col("of")).drop("of")
     marked = places.join(common, ["leaf", "at", "word"], "left").groupBy("leaf", "hash").agg(
         F.xxhash64(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("with").isNull(), FIELD).otherwise(F.col("word")).alias("word"))))).alias("template"),
         F.avg((F.col("with").isNotNull() & (F.col("word") != FIELD)).cast("int")).alias("constant"),

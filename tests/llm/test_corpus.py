@@ -116,6 +116,19 @@ def test_line_dedup(spark, odd, empty):
     assert drop_recurring_lines(odd).count() == len(ODD) and drop_recurring_lines(empty).count() == 0
 
 
+def test_templates_of_recurring_values(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    names = [a + b for a in "bcdfghjklm" for b in ("ano", "eri", "ulo", "ina", "oto")]  # each recurs in some 12 of 600 documents
+    rows = [(k, f"written by our author {rng.choice(names)} for the readers of {rng.choice(names)}") for k in range(600)]
+    rows += [(1000 + k, f"{a} line that is in every second one") for k in range(2) for a in ("this", "that")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert drop_recurring_lines(df, min_share=0.05).filter("n_dropped > 0").count() == 599 + 2
+    docs = df.selectExpr("doc_id", "text", "'en' lang", "'web' source", "cast(length(text) as long) n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()) == [0, 1000, 1000]
+
+
 def test_fuzzy_trie_against_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
