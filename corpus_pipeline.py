@@ -29,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of recurring templates from all documents but the first, and documents that lose all their words so."""
-    out = drop_recurring_lines(docs.select(*COLUMNS), min_share=0.05)
+    out = drop_recurring_lines(docs.select(*COLUMNS), min_share=0.05, short=True)
     left = F.length(F.translate("text", SPACE_CHARS, "")) > 0
     out = out.filter((F.col("n_dropped") == 0) | left)  # most texts need not be built anew for the filter
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -34,24 +34,25 @@ def _spaced(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, f"{SPACE}+", " "))).otherwise(line)
 
 
-def _keyed(lines: DataFrame, depth: int, min_words: int) -> DataFrame:
-    """Rows with the line spaced and masked, and its leaf and hash; short lines are left out."""
+def _keyed(lines: DataFrame, depth: int, min_words: int, short: bool) -> DataFrame:
+    """Rows with the line spaced and masked, and its leaf and hash; short lines are left out, or not masked and each a leaf of its own."""
+    head = F.substring_index("line", " ", depth)
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return (
         lines.withColumn("line", _spaced(F.col("line")))
         .withColumn("n", F.when(F.col("line") == "", 0).otherwise(spaces + 1))
-        .filter(F.col("n") >= min_words)
-        .withColumn("line", _masked(F.col("line")))
-        .withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
+        .filter(F.col("n") >= (1 if short else min_words))
+        .withColumn("line", F.when(F.col("n") < min_words, F.col("line")).otherwise(_masked(F.col("line"))) if short else _masked(F.col("line")))
+        .withColumn("leaf", F.xxhash64("n", F.when(F.col("n") < min_words, F.col("line")).otherwise(head) if short else head))
         .withColumn("hash", F.xxhash64("line"))
         .drop("n")
     )
 
 
-def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_docs: int = 2, constant: float = 0.7, min_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_docs: int = 2, constant: float = 0.7, min_share: float = 0.0, short: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with its texts less the lines of recurring templates, and n_lines and n_dropped (replaced if df has them).
 
-    Lines end at \\n; those of fewer than min_words words stay. A document is the pair of id and text: the first is the one of the
+    Lines end at \\n; those of fewer than min_words words stay, or with short go where the very same words recur. A document is the pair of id and text: the first is the one of the
     smallest id (null last), then of the smallest text hash; repeated rows are one document, and all keep or lose the same lines.
     A document counts once per different line. Null texts count as empty; a text that loses no line is kept byte for byte, one that
     loses all becomes empty. No rows are dropped."""
@@ -62,7 +63,7 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     docs = df.select(order.alias("doc"), F.split(text, "\n").alias("lines"))
 
     # 1. Leaf and hash of every line, then documents and first document of each different line, and a place to find it.
-    placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", F.col("raw").alias("line")), depth, min_words)
+    placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", F.col("raw").alias("line")), depth, min_words, short)
     placed = written(placed.select("doc", "at", "leaf", "hash"), "placed")
     once = placed.groupBy("doc", "leaf", "hash").agg(F.min("at").alias("at"))
     lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where"), F.max("doc").alias("last")).withColumn("first", F.col("where.doc")), "lines")
@@ -72,7 +73,7 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     several = small(several)
     sought = written(lines.join(several, "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
     found = df.select(ident.alias("ident"), F.split(text, "\n").alias("lines")).join(small(sought), "ident").select("lines", F.explode("sought").alias("s"))
-    met = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line")), depth, min_words).groupBy("leaf", "hash").agg(F.split(F.first("line"), " ").alias("words"))
+    met = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line")), depth, min_words, short).groupBy("leaf", "hash").agg(F.split(F.first("line"), " ").alias("words"))
     met = written(met, "met").join(lines, ["leaf", "hash"])
     places = written(met.select("leaf", "hash", "docs", F.posexplode("words").alias("at", "word")), "places")
     common = places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("with")).filter(F.col("with") >= min_docs)

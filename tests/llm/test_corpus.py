@@ -116,6 +116,15 @@ def test_line_dedup(spark, odd, empty):
     assert drop_recurring_lines(odd).count() == len(ODD) and drop_recurring_lines(empty).count() == 0
 
 
+def test_short_lines_recur_exactly(spark):
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\nown\n\npage 17 of 20"), (2, "one of mine\n All  rights reserved.\n\npage 18 of 20"), (3, "All rights reserved!\nown\n17\npage 17 of 20"), (4, "18\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'web' source", "cast(length(text) as long) n_chars")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, df, SF).collect())
+    assert got == [rows[0], (2, "one of mine\n\npage 18 of 20"), (3, "All rights reserved!\n17"), rows[3]]
+
+
 def test_templates_of_recurring_values(spark):
     import corpus_pipeline
 
