@@ -13,7 +13,7 @@ from .registry import query
 
 @query("SELECT epoch_us(ts) // 3600000000 * 3600000000 AS begin, event_type, count(*) AS n, cast(sum(cast(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def stream_tumbling_counts(spark, sf):
-    rows = streaming.tumbling(streaming.stream(spark, f"{sf}/events.parquet*"), "1 hour", "1 day", "event_type")
+    rows = streaming.tumbling(streaming.stream(spark, f"{sf}/events.parquet*"), "1 hour", "event_type")
     return streaming.latest_updates(rows, ["begin", "event_type"], "tumbling")
 
 

@@ -31,9 +31,13 @@ def latest_updates(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__row")).select(*keys, "__row.*")
 
 
-def tumbling(events: DataFrame, width: str, late: str, by: str) -> DataFrame:
-    """Rows and cents of value per window of event time; rows later than the watermark's delay are dropped by Spark."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+def tumbling(events: DataFrame, width: str, by: str, late: str | None = None) -> DataFrame:
+    """Rows and cents of value per window of event time.
+
+    Without a delay every row counts, in whatever order files come; the state is a row for each window and `by`. With one, Spark
+    forgets windows that are over by so much and drops later rows of them: for endless streams in time order only."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if late else timed
     counted = timed.groupBy(F.window("ts", width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
     return counted.select(F.unix_micros("w.start").alias("begin"), by, "n", "cents")
 

@@ -1,5 +1,6 @@
 """Binary key files, and a stream of several batches."""
 
+import os
 import struct
 
 import pytest
@@ -29,3 +30,16 @@ def test_stream_in_batches_equals_batch(spark, tmp_path):
     out = streaming.last_writes(streaming.stream(spark, str(tmp_path / "in"), files_per_batch=2), "k", "v", "seq")
     got = {(r.key, r.value, r.writes) for r in streaming.latest_updates(out, ["key"], "test").collect()}
     assert got == {(r.key, r.value, r.writes) for r in streaming.last_writes(rows, "k", "v", "seq").collect()}
+
+
+def test_tumbling_counts_rows_of_late_files(spark, tmp_path):
+    from rankweave.plans.registry import QUERIES
+    from rankweave.plans.streams import stream_tumbling_counts
+
+    assert QUERIES["stream_tumbling_counts"] is stream_tumbling_counts
+    rows = spark.range(700).selectExpr("timestamp_seconds(1704067200 + id * 1800) ts", "'a' event_type", "id * 0.25D value")
+    rows.repartitionByRange(140, F.desc("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    for k, f in enumerate(sorted((tmp_path / "events.parquet").glob("part-*"))):
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))  # the third batch, the first whose late rows a watermark would drop, is of the earliest hours
+    got = {(r.begin, r.n, r.cents) for r in stream_tumbling_counts(spark, str(tmp_path)).collect()}
+    assert got == {((1704067200 + h * 3600) * 10**6, 2, 25 * (4 * h + 1)) for h in range(350)}
