@@ -39,9 +39,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """df for a join: broadcast if it has at most `most` rows of a few numbers (counted), else left to be shuffled."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = 500_000, numbers=None) -> DataFrame:
+    """df for a join: broadcast if its rows hold at most `most` (counted) fixed-size rows or, with numbers, that sum of this
+    column (of the lengths of its lists), else left to be shuffled. The bound holds in bytes too, some 16 to 48 each."""
+    held = df.count() if numbers is None else df.agg(F.sum(numbers)).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
 
 
 def forget(*frames: DataFrame) -> None:
