@@ -6,8 +6,9 @@ field too, and with min_share one that less than this share of the leaf's docume
 recur as a corpus grows, but their share stays. Lines that then agree are one template, if enough of its fields are constant. A template that
 min_docs documents have recurs: its first document keeps it, all others lose their lines of it.
 
-What is shuffled are 64-bit hashes of leaves and lines; words are shuffled only for leaves in which different
-lines meet. Counts are summed per task before each shuffle, so a line in a third of all documents is no hot spot.
+What is shuffled are 64-bit hashes of leaves, lines and words, the last only for leaves in which different
+lines meet. Counts are summed per task before each shuffle, so a line in a third of all documents is no hot spot; joins
+on lines and words have written tables on both sides, so that the adaptive skew join can split what many rows share.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, clean_text, small, written
+from .common import SPACE, SPACE_CHARS, clean_text, forget, small, written
 
 FIELD = "<*>"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -66,35 +67,43 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", F.col("raw").alias("line")), depth, min_words, short)
     placed = written(placed.select("doc", "at", "leaf", "hash"), "placed")
     once = placed.groupBy("doc", "leaf", "hash").agg(F.min("at").alias("at"))
-    lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where"), F.max("doc").alias("last")).withColumn("first", F.col("where.doc")), "lines")
+    lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where"), F.max("doc").alias("last")), "lines")
 
     # 2. Templates of the leaves in which several lines meet; the words of each such line are read at its first place.
-    several = written(lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf", F.col("docs").alias("of")), "leaves")
-    several = small(several)
-    sought = written(lines.join(several, "leaf", "left_semi").groupBy(F.col("where.doc.ident").alias("ident")).agg(F.collect_list(F.struct("where.at", "leaf", "hash")).alias("sought")), "sought")
-    found = df.select(ident.alias("ident"), F.split(text, "\n").alias("lines")).join(small(sought), "ident").select("lines", F.explode("sought").alias("s"))
-    met = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line")), depth, min_words, short).groupBy("leaf", "hash").agg(F.split(F.first("line"), " ").alias("words"))
-    met = written(met, "met").join(lines, ["leaf", "hash"])
-    places = written(met.select("leaf", "hash", "docs", F.posexplode("words").alias("at", "word")), "places")
-    common = places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("with")).filter(F.col("with") >= min_docs)
-    if min_share:
-        common = common.join(several, "leaf").filter(F.col("with") >= min_share * F.col("of")).drop("of")
-    marked = places.join(common, ["leaf", "at", "word"], "left").groupBy("leaf", "hash").agg(
-        F.xxhash64(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("with").isNull(), FIELD).otherwise(F.col("word")).alias("word"))))).alias("template"),
-        F.avg((F.col("with").isNotNull() & (F.col("word") != FIELD)).cast("int")).alias("constant"),
-    )
-    of_template = marked.filter(F.col("constant") >= constant).join(lines, ["leaf", "hash"]).select("leaf", "hash", "template", "docs", "first", "last")
+    several = lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
+    several = written(several.select("leaf", F.col("docs").alias("of")), "leaves")
+    met = written(lines.join(several, "leaf").select("leaf", "hash", "docs", "of", "where"), "met")
+    sought = written(met.groupBy(F.col("where.doc").alias("doc")).agg(F.collect_list(F.struct("where.at", "leaf", "hash", "docs", "of")).alias("sought")), "sought")
+    # A few million line numbers are broadcast; beyond that bound texts go to them.
+    found = docs.join(small(sought, 2_000_000, F.size("sought")), "doc").select("lines", F.explode("sought").alias("s"))
+    found = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line"), F.col("s.docs").alias("docs"), F.col("s.of").alias("of")), depth, min_words, short)
+    places = found.select("leaf", "hash", "docs", "of", F.posexplode(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))).alias("at", "word"))
+    places = written(places, "places")
+    # The leading words of a leaf's lines are equal as they are, so only the others are counted.
+    common = places.filter(F.col("at") >= depth).groupBy("leaf", "at", "word").agg(F.sum("docs").alias("with"), F.first("of").alias("of"))
+    common = written(common.filter((F.col("with") >= min_docs) & (F.col("with") >= min_share * F.col("of"))).select("leaf", "at", "word", F.lit(True).alias("shared")), "common")
+    told = places.filter(F.col("at") >= depth).join(common, ["leaf", "at", "word"], "left").select("leaf", "hash", "at", "word", F.coalesce("shared", F.lit(False)).alias("shared"))
+    told = told.unionByName(places.filter(F.col("at") < depth).select("leaf", "hash", "at", "word", F.lit(True).alias("shared")))
+    field = F.xxhash64(F.lit(FIELD))
+    word = F.xxhash64("at", F.when(F.col("shared"), F.col("word")).otherwise(field))
+    # A template is its words by place; two sums over them that do not depend on the order stand for it.
+    marked = told.groupBy("leaf", "hash").agg(F.bit_xor(word).alias("x"), F.bit_xor(F.xxhash64(word)).alias("y"), F.avg((F.col("shared") & (F.col("word") != field)).cast("int")).alias("constant"))
+    marked = marked.filter(F.col("constant") >= constant).select("leaf", "hash", F.xxhash64("x", "y").alias("template"))
+    of_template = written(marked.join(lines, ["leaf", "hash"]).select("leaf", "hash", "template", "docs", F.col("where.doc").alias("first"), "last"), "templates")
     general = of_template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last")).filter((F.col("docs") >= min_docs) & (F.col("first") != F.col("last")))
-    general = of_template.select("leaf", "hash", "template").join(general.select("leaf", "template", "first"), ["leaf", "template"]).select("leaf", "hash", "first")
+    general = written(general.select("leaf", "template", "first"), "general")
+    general = of_template.select("leaf", "hash", "template").join(general, ["leaf", "template"]).select("leaf", "hash", "first")
 
     # 3. Lines that recur by themselves or by their template; the template's first document is the earlier one.
-    own = lines.filter((F.col("docs") >= min_docs) & (F.col("first") != F.col("last"))).select("leaf", "hash", "first")
+    own = lines.filter((F.col("docs") >= min_docs) & (F.col("where.doc") != F.col("last"))).select("leaf", "hash", F.col("where.doc").alias("first"))
     recurring = written(own.unionByName(general).groupBy("leaf", "hash").agg(F.min("first").alias("first")), "recurring")
+    forget(lines, several, met, sought, places, common, of_template)
 
-    # 4. What each document loses.
-    lost = placed.join(small(recurring), ["leaf", "hash"]).filter(F.col("doc") > F.col("first")).groupBy(F.col("doc.ident").alias("__ident")).agg(F.array_distinct(F.collect_list("at")).alias("__lost"))
-    lost = written(lost, "lost")
-    out = df.withColumn("__ident", ident).join(lost, "__ident", "left")
+    # 4. What each document loses. Texts go to it, unless it is a bounded number of places.
+    lost = placed.join(recurring, ["leaf", "hash"]).filter(F.col("doc") > F.col("first")).groupBy("doc").agg(F.array_distinct(F.collect_list("at")).alias("__lost"))
+    lost = written(lost.select(F.col("doc").alias("__doc"), "__lost"), "lost")
+    forget(placed, recurring)
+    out = df.withColumn("__doc", order).join(small(lost, 2_000_000, F.size("__lost")), "__doc", "left")
     lines_of = F.split(text, "\n")
     # a plain lambda over a pair of the line and whether it goes: the array of places is an argument of array_except, not looked up per line
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), "__lost")
