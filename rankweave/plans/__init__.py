@@ -1,3 +1,3 @@
 """plans of rankweave."""
 
-from . import profiles, streams  # noqa: F401  they add their queries to the registry
+from . import metrics, profiles, scores, streams, summaries  # noqa: F401  they add their queries to the registry

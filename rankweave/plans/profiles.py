@@ -8,7 +8,7 @@ from rankweave.functions import bit_width, sigmoid, varint_length
 from rankweave.operators import keys
 from rankweave.sources.tables import ranked_events, ranked_orders
 
-from .registry import _E, _R, query
+from .registry import _E, _R, _gaps, query
 
 LEVELS = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)  # percent
 
@@ -25,8 +25,8 @@ t AS (SELECT sum(gap) AS top FROM (SELECT gap FROM d WHERE gap IS NOT NULL ORDER
 SELECT round(max(gap) / any_value(mid), 6) AS greatest_to_median, round(any_value(top) / any_value(total), 6) AS top_share, count(*) FILTER (gap > 10 * mid) AS wide FROM d, m, t""")
 def gap_dominance(spark, sf):
     """How far few gaps make up the key range; the 16 widest are the measure's parameter."""
-    gaps = keys.with_previous(ranked_events(spark, sf), "key", "key").select((F.col("key") - F.col("previous")).alias("gap")).filter("gap is not null")
-    mid = gaps.agg(F.percentile("gap", 0.5).alias("mid"), F.sum("gap").alias("total"))
+    gaps = _gaps(spark, sf).select("gap")
+    mid = keys.order_statistics(gaps, [], "gap", {"median": 0.5}).select(F.col("median").alias("mid")).crossJoin(F.broadcast(gaps.agg(F.sum("gap").alias("total"))))  # one row each
     top = gaps.orderBy(F.desc("gap")).limit(16).agg(F.sum("gap").alias("top"))
     both = gaps.crossJoin(F.broadcast(mid.crossJoin(top)))  # one row
     return both.agg(

@@ -20,7 +20,7 @@ _G = _R + ", g AS (SELECT *, rank // 4096 AS region, rank % 4096 AS local_rank,
 _E = "ev AS (SELECT epoch_us(ts) AS key, arg_max(event_id, event_id) AS value FROM events GROUP BY 1), re AS (SELECT key, value, row_number() OVER (ORDER BY key) - 1 AS rank FROM ev)"
 _P = "probes AS (SELECT l_orderkey * 8 + l_linenumber AS probe, cast(round(l_extendedprice * 100) AS BIGINT) AS key FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL))"
 _D = """delta AS (SELECT cast(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS key, o_orderkey AS value, o_orderkey % 5 = 0 AS deleted, o_orderkey AS seq,
-  CASE o_orderkey % 5 WHEN 0 THEN 'erase' WHEN 1 THEN 'update' ELSE 'upsert' END AS kind FROM orders WHERE o_orderkey % 7 = 0)"""
+  CASE o_orderkey % 5 WHEN 0 THEN 'erase' WHEN 1 THEN 'update' ELSE 'upsert' END AS kind  FROM orders)"""
 
 
 def query(sql: str | None = None):
@@ -39,7 +39,7 @@ def _probes(spark, sf):
 
 
 def _delta(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 7 = 0")
+    o = table(spark, sf, "orders")
     kind = F.when(F.col("o_orderkey") % 5 == 0, "erase").when(F.col("o_orderkey") % 5 == 1, "update").otherwise("upsert")
     key = F.round(F.col("o_totalprice") * 100).cast("long") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
     return o.select(key.cast("long").alias("key"), F.col("o_orderkey").alias("value"), (F.col("o_orderkey") % 5 == 0).alias("deleted"), F.col("o_orderkey").alias("seq"), kind.alias("kind"))
@@ -49,6 +49,10 @@ def _regions(spark, sf):
     return keys.regions(ranked_orders(spark, sf))
 
 
+def _gaps(spark, sf):
+    return keys.previous(ranked_events(spark, sf), "key").filter("previous is not null").select("key", (F.col("key") - F.col("previous")).alias("gap"))
+
+
 # --- sequences
 
 @query(f"WITH {_S} SELECT * FROM store")
@@ -146,10 +150,10 @@ def route_to_region(spark, sf):
     return store.route(_probes(spark, sf), region_directory(spark, sf).select("region", "fence"))
 
 
-@query(f"WITH {_R} SELECT q.rank AS probe, r.key, r.value, r.rank - q.rank AS \"at\" FROM r q JOIN r ON r.rank BETWEEN q.rank AND q.rank + 15 WHERE q.rank % 50 = 0")
+@query(f"WITH {_R} SELECT q.rank AS probe, r.key, r.value, r.rank - q.rank AS \"at\" FROM r q JOIN r ON r.rank BETWEEN q.rank AND q.rank + 15")
 def scan_batch(spark, sf):
     r = ranked_orders(spark, sf)
-    return store.scan(r.filter("rank % 50 = 0").select(F.col("rank").alias("probe"), "rank"), r, 16)
+    return store.scan(r.select(F.col("rank").alias("probe"), "rank"), r, 16)
 
 
 @query(f"""WITH {_S}, {_D}, u AS (SELECT key, value, false AS deleted, -1 AS seq FROM store UNION ALL SELECT key, value, deleted, seq FROM delta),
@@ -199,28 +203,50 @@ def linear_conflict_degree(spark, sf):
 
 
 @query()
-def pla_segments_32(spark, sf):
-    return hardness.segments_per_region(_regions(spark, sf), 32)
+def pla_segments(spark, sf):
+    """Least numbers of segments of the event times, for several error bounds."""
+    return hardness.pla_segments(ranked_events(spark, sf), (0, 8, 32, 4096))
 
 
 @query()
+def pla_segments_32(spark, sf):
+    """Segments of the orders' whole sequence of prices, within 32 ranks."""
+    return hardness.pla_segments(ranked_orders(spark, sf), (32,))
+
+
+# The distance of the fit is told by the first windows that are too narrow, for every distance up to 64 (if none serves the result is null).
+_FMCD = """, e AS (SELECT count(*) AS n, count(*) * (1 + CASE WHEN count(*) >= 1000000 THEN 1 WHEN count(*) >= 100000 THEN 2 ELSE 5 END) AS cap FROM re),
+ds AS (SELECT d, n, cap, lo.key AS lo, hi.key AS hi, cast(hi.key - lo.key AS DOUBLE) / (cap - 2) + 1e-6 AS ut FROM (SELECT unnest(range(1, 65)) AS d), e JOIN re lo ON lo.rank = d JOIN re hi ON hi.rank = n - 1 - d),
+f AS (SELECT d, min(a.rank) AS f FROM ds JOIN re a ON true JOIN re b ON b.rank = a.rank + d WHERE b.key - a.key < ut GROUP BY d),
+ok AS (SELECT min(ds.d) AS d FROM ds LEFT JOIN f ON f.d = ds.d LEFT JOIN f p ON p.d = ds.d - 1 WHERE 3 * ds.d > n OR f.f IS NULL OR ds.d > 1 AND coalesce(p.f, n) >= n - 1 - ds.d),
+slots AS (SELECT least(greatest(cast(floor(1 / ut * (cast(2 * cast(key AS HUGEINT) - (lo + hi) AS DOUBLE) / 2) + cap / 2) AS BIGINT), 0), cap - 1) AS slot, count(*) AS c FROM re, ds JOIN ok USING (d) GROUP BY 1),
+cd AS (SELECT any_value(n) AS n, any_value(ds.d) AS fmcd_d, any_value(cap) AS capacity, max(c) AS conflict_degree, count(*) AS slots_used FROM slots, ds JOIN ok USING (d))"""
+
+
+@query(f"WITH {_E}{_FMCD} SELECT * FROM cd")
+def fmcd_conflict_degree(spark, sf):
+    return hardness.fmcd_conflicts(ranked_events(spark, sf))
+
+
+@query(f"WITH {_E}" + _LS.format(by="", w="", t="re", g="") + _FMCD + """, ls AS (SELECT sqrt(avg(pow(y - slope * x - intercept, 2))) AS rmse, max(abs(y - slope * x - intercept)) AS max_error FROM x, fit)
+SELECT n, round(rmse, 6) AS rmse, round(max_error, 6) AS max_error, fmcd_d, capacity, conflict_degree, slots_used FROM ls, cd""")
 def hardness_vector(spark, sf):
     """The flagship: least-squares errors and conflict degree of the event times, in one row."""
     r = ranked_events(spark, sf)
-    return hardness.least_squares(r).crossJoin(F.broadcast(hardness.conflict_degree(r))).select("n", F.round("rmse", 6).alias("rmse"), F.round("max_error", 6).alias("max_error"), "conflict_degree", "slots_used")
+    both = hardness.least_squares(r).drop("n").crossJoin(F.broadcast(hardness.fmcd_conflicts(r)))  # one row each
+    return both.select("n", F.round("rmse", 6).alias("rmse"), F.round("max_error", 6).alias("max_error"), "fmcd_d", "capacity", "conflict_degree", "slots_used")
 
 
 @query(f"WITH {_E}, d AS (SELECT key, rank, key - lag(key) OVER (ORDER BY key) AS gap FROM re), m AS (SELECT median(gap) AS mid FROM d) SELECT key, gap FROM d, m WHERE gap > mid ORDER BY gap DESC, key LIMIT 64")
 def widest_gaps(spark, sf):
-    e = keys.with_previous(ranked_events(spark, sf), "key", "key")
-    gaps = e.select("key", (F.col("key") - F.col("previous")).alias("gap")).filter("gap is not null")
-    mid = gaps.agg(F.percentile("gap", 0.5).alias("mid"))
-    return gaps.crossJoin(F.broadcast(mid)).filter("gap > mid").select("key", "gap").orderBy(F.desc("gap"), "key").limit(64)  # the report's length
+    gaps = _gaps(spark, sf)
+    mid = keys.order_statistics(gaps, [], "gap", {"median": 0.5})
+    return gaps.crossJoin(F.broadcast(mid)).filter("gap > median").select("key", "gap").orderBy(F.desc("gap"), "key").limit(64)  # the report's length
 
 
 @query(f"WITH {_E}, d AS (SELECT rank // 512 AS block, log2(key - lag(key) OVER (ORDER BY key)) AS g FROM re) SELECT block, count(g) AS n, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS deviation FROM d WHERE g IS NOT NULL GROUP BY block")
 def log_gap_profile(spark, sf):
-    e = keys.with_previous(ranked_events(spark, sf), "key", "key").filter("previous is not null")
+    e = keys.previous(ranked_events(spark, sf), "key").filter("previous is not null")
     g = F.log2((F.col("key") - F.col("previous")).cast("double"))
     return e.select(F.expr("rank div 512").alias("block"), g.alias("g")).groupBy("block").agg(F.count("g").alias("n"), F.round(F.avg("g"), 6).alias("mean"), F.round(F.stddev_pop("g"), 6).alias("deviation"))
 
@@ -235,8 +261,9 @@ def flow_features(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, " + ", ".join(f"quantile_disc(value, {q}) AS p{n}" for n, q in ((50, 0.5), (95, 0.95), (99, 0.99))) + ", max(value) AS most FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    rows = table(spark, sf, "events").groupBy("event_type")
-    return rows.agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(f"p{n}") for n, q in ((50, 0.5), (95, 0.95), (99, 0.99))), F.max("value").alias("most"))
+    e = table(spark, sf, "events")
+    most = e.groupBy("event_type").agg(F.max("value").alias("most"))
+    return keys.order_statistics(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).join(most, "event_type")
 
 
 _VAR = "v AS (SELECT event_type AS variant, user_id AS seed, median(value) AS m FROM events GROUP BY ALL)"
@@ -315,8 +342,7 @@ def planned_minus_done(spark, sf):
 @query("""WITH e AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS j, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, j * 8 // n AS chunk, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL""")
 def chunk_rates(spark, sf):
-    w = Window.partitionBy("event_type")
-    e = table(spark, sf, "events").select("event_type", "value", (F.row_number().over(w.orderBy("event_id")) - 1).alias("j"), F.count("*").over(w).alias("n"))
+    e = keys.numbered(table(spark, sf, "events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"])
     return e.groupBy("event_type", F.expr("(j * 8) div n").alias("chunk")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankweave import streaming
+from rankweave.operators import keys
 from rankweave.sources.tables import table
 
 from .registry import query
@@ -54,5 +55,6 @@ def settled_chunk(spark, sf):
 SELECT event_type, round(1.4826 * median(abs(value - mid)) / any_value(mid), 6) AS spread FROM m GROUP BY event_type""")
 def mad_spread(spark, sf):
     e = table(spark, sf, "events").select("event_type", "value")
-    mid = e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("mid"))  # a row per type
-    return e.join(mid, "event_type").groupBy("event_type").agg(F.round(1.4826 * F.percentile(F.abs(F.col("value") - F.col("mid")), 0.5) / F.first("mid"), 6).alias("spread"))
+    mid = keys.order_statistics(e, ["event_type"], "value", {"median": 0.5}).select("event_type", F.col("median").alias("mid"))  # a row per type
+    away = e.join(mid, "event_type").select("event_type", "mid", F.abs(F.col("value") - F.col("mid")).alias("away"))
+    return keys.order_statistics(away, ["event_type"], "away", {"median": 0.5}).join(mid, "event_type").select("event_type", F.round(1.4826 * F.col("median") / F.col("mid"), 6).alias("spread"))
