@@ -67,35 +67,40 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     placed = _keyed(docs.select("doc", F.posexplode("lines").alias("at", "raw")).select("doc", "at", F.col("raw").alias("line")), depth, min_words, short)
     placed = written(placed.select("doc", "at", "leaf", "hash"), "placed")
     once = placed.groupBy("doc", "leaf", "hash").agg(F.min("at").alias("at"))
-    lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where"), F.max("doc").alias("last")), "lines")
+    lines = written(once.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("where")), "lines")
 
     # 2. Templates of the leaves in which several lines meet; the words of each such line are read at its first place.
     several = lines.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
     several = written(several.select("leaf", F.col("docs").alias("of")), "leaves")
-    met = written(lines.join(several, "leaf").select("leaf", "hash", "docs", "of", "where"), "met")
-    sought = written(met.groupBy(F.col("where.doc").alias("doc")).agg(F.collect_list(F.struct("where.at", "leaf", "hash", "docs", "of")).alias("sought")), "sought")
+    met = written(lines.join(several, "leaf"), "met")
+    listed = [F.collect_list(c).alias(c) for c in ("at", "docs", "of")]  # of one row each, so in one order
+    sought = met.select("where.doc", F.col("where.at").alias("at"), "docs", "of").groupBy("doc").agg(*listed)
+    sought = written(sought.select("doc", F.arrays_zip("at", "docs", "of").alias("sought")), "sought")
     # A few million line numbers are broadcast; beyond that bound texts go to them.
     found = docs.join(small(sought, 2_000_000, F.size("sought")), "doc").select("lines", F.explode("sought").alias("s"))
     found = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line"), F.col("s.docs").alias("docs"), F.col("s.of").alias("of")), depth, min_words, short)
-    places = found.select("leaf", "hash", "docs", "of", F.posexplode(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))).alias("at", "word"))
-    places = written(places, "places")
-    # The leading words of a leaf's lines are equal as they are, so only the others are counted.
-    common = places.filter(F.col("at") >= depth).groupBy("leaf", "at", "word").agg(F.sum("docs").alias("with"), F.first("of").alias("of"))
-    common = written(common.filter((F.col("with") >= min_docs) & (F.col("with") >= min_share * F.col("of"))).select("leaf", "at", "word", F.lit(True).alias("shared")), "common")
-    told = places.filter(F.col("at") >= depth).join(common, ["leaf", "at", "word"], "left").select("leaf", "hash", "at", "word", F.coalesce("shared", F.lit(False)).alias("shared"))
-    told = told.unionByName(places.filter(F.col("at") < depth).select("leaf", "hash", "at", "word", F.lit(True).alias("shared")))
-    field = F.xxhash64(F.lit(FIELD))
-    word = F.xxhash64("at", F.when(F.col("shared"), F.col("word")).otherwise(field))
-    # A template is its words by place; two sums over them that do not depend on the order stand for it.
-    marked = told.groupBy("leaf", "hash").agg(F.bit_xor(word).alias("x"), F.bit_xor(F.xxhash64(word)).alias("y"), F.avg((F.col("shared") & (F.col("word") != field)).cast("int")).alias("constant"))
-    marked = marked.filter(F.col("constant") >= constant).select("leaf", "hash", F.xxhash64("x", "y").alias("template"))
-    of_template = written(marked.join(lines, ["leaf", "hash"]).select("leaf", "hash", "template", "docs", F.col("where.doc").alias("first"), "last"), "templates")
-    general = of_template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last")).filter((F.col("docs") >= min_docs) & (F.col("first") != F.col("last")))
+    # A word at its place in a leaf is one number. Fields are no constants, and a leaf's lines share their leading words, so that neither needs a row.
+    split = F.split("line", " ")
+    lead = F.size(F.filter(F.slice(split, 1, depth), lambda w: w != FIELD))
+    numbers = F.transform(split, lambda w, i: F.when((i >= depth) & (w != FIELD), F.xxhash64(F.col("leaf"), i, w)))
+    places = found.select("hash", "docs", "of", F.size(split).alias("n"), lead.alias("lead"), F.explode(F.array_append(F.array_compact(numbers), F.lit(0).cast("long"))).alias("word"))
+    places = written(places, "places")  # 0: the line itself, whose other words may all be fields
+    common = places.filter("word <> 0").groupBy("word").agg(F.sum("docs").alias("with"), F.first("of").alias("of"))
+    common = written(common.filter((F.col("with") >= min_docs) & (F.col("with") >= min_share * F.col("of"))).select("word"), "common")
+    told = places.select("hash", "word", "n", "lead").filter("word <> 0").join(common, "word", "left_semi").select("hash", "word", F.lit(0).alias("n"), F.lit(0).alias("lead"))
+    told = told.unionByName(places.filter("word = 0").select("hash", "word", "n", "lead"))
+    # A template is its leaf with its constants by place; two sums over them that do not depend on the order stand for it.
+    marked = told.groupBy("hash").agg(F.bit_xor("word").alias("x"), F.bit_xor(F.xxhash64("word")).alias("y"), ((F.count_if(F.col("word") != 0) + F.max("lead")) / F.max("n")).alias("constant"))
+    marked = marked.filter(F.col("constant") >= constant).select("hash", F.xxhash64("x", "y").alias("template"))
+    of_template = written(marked.join(met, "hash").select("leaf", "hash", "template", "docs", F.col("where.doc").alias("first")), "templates")
+    # Documents count once per line: two have the template if two have one of its lines, or two lines have different first ones.
+    general = of_template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"), F.max("first").alias("last"))
+    general = general.filter((F.col("docs") >= min_docs) & ((F.col("most") > 1) | (F.col("first") != F.col("last"))))
     general = written(general.select("leaf", "template", "first"), "general")
     general = of_template.select("leaf", "hash", "template").join(general, ["leaf", "template"]).select("leaf", "hash", "first")
 
     # 3. Lines that recur by themselves or by their template; the template's first document is the earlier one.
-    own = lines.filter((F.col("docs") >= min_docs) & (F.col("where.doc") != F.col("last"))).select("leaf", "hash", F.col("where.doc").alias("first"))
+    own = lines.filter(F.col("docs") >= max(min_docs, 2)).select("leaf", "hash", F.col("where.doc").alias("first"))
     recurring = written(own.unionByName(general).groupBy("leaf", "hash").agg(F.min("first").alias("first")), "recurring")
     forget(lines, several, met, sought, places, common, of_template)
 
