@@ -2,61 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.sources.shared import forget, shared_dir, small, written
+
 #: ASCII white space, as a Java or RE2 character class: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
 #: The same characters as a string, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-_LOCAL_SHARED = "/tmp/rankweave-shared"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
-
-    Only where the session sets none (tests on one machine) a local folder is used and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _LOCAL_SHARED
-    return f"{base.rstrip('/')}/rankweave/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written once to the shared folder and read again: later plans start from these files,
-    so a lost executor costs no more than one read of them."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, most: int = 500_000, numbers=None) -> DataFrame:
-    """df for a join: broadcast if its rows hold at most `most` (counted) fixed-size rows or, with numbers, that sum of this
-    column (of the lengths of its lists), else left to be shuffled. The bound holds in bytes too, some 16 to 48 each."""
-    held = df.count() if numbers is None else df.agg(F.sum(numbers)).first()[0] or 0
-    return F.broadcast(df) if held <= most else df
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete what written() wrote for frames that nothing reads any longer."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/rankweave/" in name:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(hadoop).delete(path, True)
-
-
 def clean_text(col: str = "text"):
     """The text, with null as the empty string."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -107,6 +70,8 @@ def chunks(texts: list[str], chars: int = 2_000_000):
         yield texts[begun:at]
 
 
+__all__ = ["SPACE", "SPACE_CHARS", "BatchMemo", "Memo", "chunks", "clean_text", "forget", "gram_hashes", "hash_words", "read", "shared_dir", "small", "written"]
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
