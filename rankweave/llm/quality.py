@@ -65,41 +65,54 @@ def pair_buckets(h: np.ndarray, mask: int) -> np.ndarray:
     return np.where(a == b, _TWICE, np.maximum(mixed & np.uint64(mask), np.uint64(1))).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, sizes: tuple[int, ...] = (3, 4), epochs: int = 4, rate: float = 2.0, batch: int = 32, words_a_step: int = 48, seed: int = 7) -> QualityModel:
-    """Train on texts with labels 0 or 1. Each step takes `batch` documents and, of each, words_a_step words
-    drawn at random (all parts of a text are drawn alike, words of over 200 characters not) with their right neighbours."""
+def text_vectors(texts: list[str], mask: int, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each whole text: its buckets, each once, and their shares in the text's average. Texts without words have none."""
+    split = [t.split() for t in texts]
+    number = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}))}
+    buckets: list[np.ndarray] = [np.zeros(0, np.int64)] * len(number)
+    hashes = np.zeros(len(number), np.uint64)
+    words = list(number)
+    short = [k for k, w in enumerate(words) if len(w) <= 40]
+    for rows in [*(short[k : k + 20_000] for k in range(0, len(short), 20_000)), *([k] for k, w in enumerate(words) if len(w) > 40)]:
+        grams, counted, hashed = word_buckets([words[k] for k in rows], mask, sizes)
+        hashes[rows] = hashed
+        for k, g, c in zip(rows, grams, counted, strict=True):
+            buckets[k] = g[c]
+    wide = np.array([len(b) for b in buckets], np.int64)
+    begins, flat = np.cumsum(wide) - wide, np.concatenate([np.zeros(0, np.int64), *buckets])
+    out = []
+    for ws in split:
+        at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+        pairs = pair_buckets(hashes[at], mask)
+        words_, times = np.unique(at, return_counts=True)
+        n = wide[words_]
+        of_words = flat[np.repeat(begins[words_] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        which, inverse = np.unique(np.concatenate([of_words, pairs]), return_inverse=True)
+        share = np.concatenate([np.repeat(times / np.maximum(n, 1), n), np.ones(len(pairs))]) / max(len(at) + len(pairs), 1)
+        out.append((which.astype(np.int32), np.bincount(inverse, share, len(which)).astype(np.float32)))
+    return out
+
+
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, sizes: tuple[int, ...] = (3, 4), epochs: int = 4, rate: float = 2.0, batch: int = 32, seed: int = 7) -> QualityModel:
+    """Train on whole texts with labels 0 or 1; those without words are left out. Each step takes `batch` documents.
+
+    Memory: the different buckets of each text, eight bytes each."""
     rng, mask = np.random.default_rng(seed), buckets - 1
     vec = rng.uniform(-1, 1, (buckets, dim)).astype(np.float32) / dim
     out, bias = np.zeros(dim, np.float32), np.float32(0)
-    docs = [(w, y) for w, y in (([w for w in t.split() if len(w) <= 200], y) for t, y in zip(texts, labels, strict=True)) if w]
+    docs = [(v, y) for v, y in zip(text_vectors(texts, mask, sizes), labels, strict=True) if len(v[0])]
     a_round = -(-len(docs) // batch)
     for step in range(epochs * a_round):
         k = step % a_round
         if k == 0:
             order = rng.permutation(len(docs))
-        left, right, row, has_right = [], [], [], []
         chosen = [docs[d] for d in order[k * batch : (k + 1) * batch]]
-        for r, (words, _) in enumerate(chosen):
-            for i in rng.integers(0, len(words), min(words_a_step, len(words))).tolist():
-                left.append(words[i])
-                has_right.append(i + 1 < len(words))
-                right.append(words[i + 1] if has_right[-1] else "")
-                row.append(r)
-        names = sorted({*left, *right})
-        number = {w: i for i, w in enumerate(names)}
-        at, after = (np.array([number[w] for w in ws]) for ws in (left, right))
-        grams, counted, hashes = word_buckets(names, mask, sizes)
-        pair = pair_buckets(np.stack([hashes[at], hashes[after]], 1).reshape(-1), mask)[::2]
-        row, has_right = np.array(row), np.array(has_right)
-        parts = np.bincount(row, minlength=len(chosen)) + np.bincount(row[has_right], minlength=len(chosen))
-        which, col = np.nonzero(counted[at])
-        col = np.concatenate([grams[at][which, col], pair[has_right]])
-        share = np.concatenate([(1 / counted[at].sum(1) / parts[row])[which], (1 / parts[row])[has_right]]).astype(np.float32)
-        of = np.concatenate([row[which], row[has_right]])
-        average = np.stack([np.bincount(of, vec[col, d] * share, len(chosen)) for d in range(dim)], 1)
+        col, share = np.concatenate([v[0] for v, _ in chosen]), np.concatenate([v[1] for v, _ in chosen])
+        n = np.array([len(v[0]) for v, _ in chosen])
+        average = np.add.reduceat(vec[col] * share[:, None], np.cumsum(n) - n)
         g = np.array([y for _, y in chosen]) - _sigmoid(average @ out + bias)
         now = rate * (1 - step / (epochs * a_round))
-        np.add.at(vec, col, ((now * 4) * (g[of] * share)[:, None] * out[None, :]).astype(np.float32))
+        np.add.at(vec, col, ((now * 4) * (np.repeat(g, n) * share)[:, None] * out[None, :]).astype(np.float32))
         out += (now * (g @ average)).astype(np.float32)
         bias += np.float32(now * 0.1 * g.mean())
     return QualityModel((vec @ out).astype(np.float32), float(bias), tuple(sizes))
