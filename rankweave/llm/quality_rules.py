@@ -68,9 +68,15 @@ def adaptive_rules(df: DataFrame, text_col: str = "text", groups: tuple[str, ...
 
     base_failed: fewer than 50 words, or over half of them in three-word windows that occur twice or more.
     Texts that fail the base rules take no part in the quartiles. A group (nulls are a value) of fewer than least_rows
-    texts takes the thresholds of its first column, then of all texts. Rows are kept as they are, repeated ones too."""
-    rest = [c for c in df.columns if c != text_col]
-    out = text_measures(df.select(*(F.col(f"`{c}`") for c in rest), clean_text(text_col).alias("__text")), "__text").drop("__text")
+    texts takes the thresholds of its first column, then of all texts. Rows are kept as they are, repeated ones too; null
+    texts count as empty, and an empty table gives an empty one. Columns of df named as a measure, n_lines, base_failed, failed or kept
+    are replaced, but as groups their values count."""
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "failed", "kept", *MEASURES}
+    rest = [c for c in df.columns if c != text_col and c not in made]
+    own = F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__none")).alias("__row")  # apart from the names used here
+    keys = [f"__g{k}" for k in range(len(groups))]
+    named = [F.coalesce(F.col(f"`{g}`").cast("string"), F.lit("\x00")).alias(k) for g, k in zip(groups, keys, strict=True)]
+    out = text_measures(df.select(own, *named, clean_text(text_col).alias("__text")), "__text").drop("__text")
     words = F.greatest(F.col("n_words"), F.lit(1))
     out = out.select(
         *out.columns,
@@ -79,9 +85,7 @@ def adaptive_rules(df: DataFrame, text_col: str = "text", groups: tuple[str, ...
         (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_share"),
         (F.col("n_repeat_words") / words).alias("repeat_share"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        *(F.coalesce(F.col(f"`{g}`").cast("string"), F.lit("\x00")).alias(f"__g{k}") for k, g in enumerate(groups)),
     )
-    keys = [f"__g{k}" for k in range(len(groups))]
     out = written(out, "measures")  # without the texts: they are measured once, for the sketches and the verdicts
     sketches = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias(f"__q_{m}") for m in MEASURES]
     passing = out.filter("not base_failed").select(*keys, *MEASURES)
@@ -98,7 +102,7 @@ def adaptive_rules(df: DataFrame, text_col: str = "text", groups: tuple[str, ...
         beyond = (F.col(m) > hi + slack) | ((F.col(m) < lo - slack) if low else F.lit(False))
         tests.append(F.when(beyond, F.lit(m)))
     failed = F.array_compact(F.array(*tests))
-    return limits.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", failed.alias("failed"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"))
+    return limits.select(*(F.col(f"__row.`{c}`") for c in rest), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", failed.alias("failed"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"))
 
 
 def _or_else(df: DataFrame, wider: DataFrame, keys: list[str], least_rows: int) -> DataFrame:
