@@ -6,8 +6,8 @@ sorted together; sweeping over them, the last interval end passed tells which ru
 nested rule hosts, from the widest to the narrowest. A url takes the longest rule of its stack whose path
 begins its path.
 
-Work is dealt by top-level label, and a label with many urls is dealt into several salted parts, each of
-which gets that label's interval ends; no part's size grows with the number of urls.
+Only urls whose top-level label has rules are swept. Work is dealt by that label, and a label with many urls is dealt into
+several salted parts, each of which gets that label's interval ends; no part's size grows with the number of urls.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER_LABEL, _END = "\x01", "\x02"  # every label of a key ends with the first; an interval ends before the second
 
@@ -79,16 +81,15 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", otherwise:
 
 
 def _swept(urls: DataFrame, ends: DataFrame, kept: list[str], hashed: list[str], otherwise: str, part_rows: int) -> DataFrame:
-    swept = urls.filter(F.length("host") > 0)
-    apart = urls.filter(F.length("host") == 0)
-    top = _labels(F.col("host"))[0]
-    # How many parts each top-level label is dealt into; labels without rules need no sweep, but are cheap to take along.
+    urls = urls.withColumn("__top", _labels(F.col("host"))[0])
+    # How many parts each top-level label with rules is dealt into.
     # A part has at least as many urls as its label has interval ends, so copying these costs no more than the urls themselves.
     ends_of = ends.groupBy("top").agg(F.count("*").alias("ends"))
-    parts = swept.groupBy(top.alias("top")).agg(F.count("*").alias("n")).join(ends_of, "top", "left").select("top", F.ceil(F.col("n") / F.greatest(F.lit(part_rows), F.coalesce("ends", F.lit(0)))).cast("int").alias("parts"))
-    salted = swept.select("row", "host", "path", top.alias("top")).join(parts, "top").select(
-        "top", F.pmod(F.xxhash64("host", "path", *hashed), F.col("parts")).cast("int").alias("part"), _key(_labels(F.col("host"))).alias("key"), F.lit(2).alias("kind"), "row", "host", "path"
-    )
+    counts = urls.filter(F.length("host") > 0).groupBy(F.col("__top").alias("top")).agg(F.count("*").alias("n"))
+    parts = written(counts.join(ends_of, "top").select("top", F.ceil(F.col("n") / F.greatest(F.lit(part_rows), F.col("ends"))).cast("int").alias("parts")), "parts")
+    dealt = urls.join(small(parts), (F.col("top") == F.col("__top")) & (F.length("host") > 0), "left")
+    apart = dealt.filter("parts is null")
+    salted = dealt.filter("parts is not null").select("top", F.pmod(F.xxhash64("host", "path", *hashed), F.col("parts")).cast("int").alias("part"), _key(_labels(F.col("host"))).alias("key"), F.lit(2).alias("kind"), "row", "host", "path")
     events = ends.join(parts, "top").select("top", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "e.key", "e.kind", F.col("e.active").alias("active"))
     both = salted.unionByName(events, allowMissingColumns=True).repartition("top", "part")  # by both: a label alone would meet in one task
     sweep = Window.partitionBy("top", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
