@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small, written
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -114,9 +114,11 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Payloads are the texts in UTF-8, null as empty. Of equal payloads of at least least_bytes bytes the page of the smallest id
     is the response (of repeated rows with that id, all are); pages with a null id are responses, and are the reference of none."""
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    pages = pages.withColumn("sha", F.sha1("payload"))
-    first = pages.filter(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"))  # sketched per task before the shuffle
-    marked = pages.join(first, "sha", "left")  # a payload with very many pages is split by the adaptive skew join
+    pages = pages.withColumn("sha", F.unhex(F.sha1("payload")))
+    # Digests of several pages only, each counted per task before the shuffle; up to a bounded number of them payloads stay
+    # where they are, beyond it they go to their digests, and the adaptive skew join splits one with very many pages.
+    several = pages.filter(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    marked = pages.join(small(written(several.select("sha", "first"), "repeated")), "sha", "left")
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, done = TaskContext.get().partitionId(), 0
@@ -128,7 +130,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 for page, url, payload, sha, to in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["sha"], pdf["first"], strict=True):
                     page, to = (None if x != x or x is None else int(x) for x in (page, to))
                     revisit = to is not None and page is not None and to != page
-                    digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                    digest = base64.b32encode(sha).decode()
                     yield deflater.compress(record(page, f"page:{page}" if page is not None else f"row:{part}:{done}", url, bytes(payload), len(payload), digest, to if revisit else None, revisit))
                     done += 1
             yield deflater.flush()
