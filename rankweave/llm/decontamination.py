@@ -68,17 +68,19 @@ def align(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -1
     return best
 
 
-def contaminated(df: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, run: int = 30, block_items: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(df: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, run: int = 30, block_items: int = 100_000, block_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item that it has a copy of: doc_id, item_id, score (of the alignment, in words), share (of the item's length).
 
     A copy aligns with a score of at least `share` of the item's words, or of at least `run` words. Words are runs of other than
     white space, in lower case and without marks; those of marks alone don't count. Items of fewer than n words are found in no text, nor is anything in null or empty texts. Rows with one id
     are one document (the best score counts); those with a null id are one too, as are items with one id.
-    Memory: a task holds the words and seeds of block_items items, and one text."""
+    Memory: a task holds the words and seeds of a block of items, and one text. Items are dealt by hash into as many blocks as block_items
+    items and block_bytes of text allow on average; each block is searched for in all texts."""
     spark = df.sparkSession
     named = items.select(F.col(item_col).cast("long").alias("item_id"), clean_text(item_text_col).alias("text"))
     numbered = written(named, "items")
-    blocks = max(1, -(-numbered.count() // block_items))
+    held = numbered.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    blocks = max(1, -(-held["n"] // block_items), -(-(held["bytes"] or 0) // block_bytes))
     out = None
     for k in range(blocks):
         part = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)

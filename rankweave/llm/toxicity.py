@@ -62,11 +62,16 @@ class FuzzyTrie:
                     node = self.children[node][c]
                     self.most[node] = max(self.most[node], k)
                 into[node] = name
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start without states; they are made anew as they are reached."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple[str, int] | None] = []
         self.begun: list[str | None] = []
+        self.reached = 0  # steps kept
         self.start = self._state({0: 0})
 
     def _state(self, at: dict[int, int]) -> int:
@@ -102,10 +107,13 @@ class FuzzyTrie:
             if e + 1 <= self.most[node] and e + 1 < to.get(node, 9):
                 to[node] = e + 1
         self.steps[state][c] = out = self._state(to)
+        self.reached += 1
         return out
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits), or (stem with * after it, 0), or None."""
+        if self.reached > 1_000_000:  # a bound of memory
+            self._forget()
         state, stem = self.start, None
         for c in word:
             to = self.steps[state].get(c)
