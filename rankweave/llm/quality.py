@@ -65,32 +65,33 @@ def pair_buckets(h: np.ndarray, mask: int) -> np.ndarray:
     return np.where(a == b, _TWICE, np.maximum(mixed & np.uint64(mask), np.uint64(1))).astype(np.int64)
 
 
-def text_vectors(texts: list[str], mask: int, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each whole text: its buckets, each once, and their shares in the text's average. Texts without words have none."""
-    split = [t.split() for t in texts]
-    number = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}))}
-    buckets: list[np.ndarray] = [np.zeros(0, np.int64)] * len(number)
-    hashes = np.zeros(len(number), np.uint64)
-    words = list(number)
-    short = [k for k, w in enumerate(words) if len(w) <= 40]
-    for rows in [*(short[k : k + 20_000] for k in range(0, len(short), 20_000)), *([k] for k, w in enumerate(words) if len(w) > 40)]:
-        grams, counted, hashed = word_buckets([words[k] for k in rows], mask, sizes)
-        hashes[rows] = hashed
-        for k, g, c in zip(rows, grams, counted, strict=True):
-            buckets[k] = g[c]
-    wide = np.array([len(b) for b in buckets], np.int64)
-    begins, flat = np.cumsum(wide) - wide, np.concatenate([np.zeros(0, np.int64), *buckets])
-    out = []
-    for ws in split:
-        at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-        pairs = pair_buckets(hashes[at], mask)
-        words_, times = np.unique(at, return_counts=True)
-        n = wide[words_]
-        of_words = flat[np.repeat(begins[words_] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        which, inverse = np.unique(np.concatenate([of_words, pairs]), return_inverse=True)
-        share = np.concatenate([np.repeat(times / np.maximum(n, 1), n), np.ones(len(pairs))]) / max(len(at) + len(pairs), 1)
-        out.append((which.astype(np.int32), np.bincount(inverse, share, len(which)).astype(np.float32)))
-    return out
+def text_vectors(texts: list[str], mask: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each whole text: its buckets, each once, and their shares in the text's average. Texts without words have none.
+
+    A few texts are taken together, so that little besides the result is held."""
+    for part in chunks(texts, 300_000):
+        split = [t.split() for t in part]
+        number = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}))}
+        buckets: list[np.ndarray] = [np.zeros(0, np.int64)] * len(number)
+        hashes = np.zeros(len(number), np.uint64)
+        words = list(number)
+        short = [k for k, w in enumerate(words) if len(w) <= 40]
+        for rows in [*(short[k : k + 4000] for k in range(0, len(short), 4000)), *([k] for k, w in enumerate(words) if len(w) > 40)]:
+            grams, counted, hashed = word_buckets([words[k] for k in rows], mask, sizes)
+            hashes[rows] = hashed
+            for k, g, c in zip(rows, grams, counted, strict=True):
+                buckets[k] = g[c]
+        wide = np.array([len(b) for b in buckets], np.int64)
+        begins, flat = np.cumsum(wide) - wide, np.concatenate([np.zeros(0, np.int64), *buckets])
+        for ws in split:
+            at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+            pairs = pair_buckets(hashes[at], mask)
+            words_, times = np.unique(at, return_counts=True)
+            n = wide[words_]
+            of_words = flat[np.repeat(begins[words_] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            which, inverse = np.unique(np.concatenate([of_words, pairs]), return_inverse=True)
+            share = np.concatenate([np.repeat(times / np.maximum(n, 1), n), np.ones(len(pairs))]) / max(len(at) + len(pairs), 1)
+            yield which.astype(np.int32), np.bincount(inverse, share, len(which)).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, sizes: tuple[int, ...] = (3, 4), epochs: int = 4, rate: float = 2.0, batch: int = 32, seed: int = 7) -> QualityModel:
@@ -101,6 +102,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
     vec = rng.uniform(-1, 1, (buckets, dim)).astype(np.float32) / dim
     out, bias = np.zeros(dim, np.float32), np.float32(0)
     docs = [(v, y) for v, y in zip(text_vectors(texts, mask, sizes), labels, strict=True) if len(v[0])]
+    del texts
     a_round = -(-len(docs) // batch)
     for step in range(epochs * a_round):
         k = step % a_round

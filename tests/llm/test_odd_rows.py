@@ -172,7 +172,7 @@ def test_training_vectors_hold_whole_texts():
     """Each word and pair of a text counts, however long the text or the word."""
     long_word = "q" * 5000
     text = "start " + "middle " * 30_000 + long_word + " end"
-    (which, share), (none, _) = quality.text_vectors([text, " "], (1 << 18) - 1, (3, 4))
+    (which, share), (none, _) = list(quality.text_vectors([text, " "], (1 << 18) - 1, (3, 4)))
     assert abs(share.sum() - 1) < 1e-3 and len(none) == 0
     for w in ("start", "end", long_word):
         grams, counted, _ = quality.word_buckets([w], (1 << 18) - 1, (3, 4))
