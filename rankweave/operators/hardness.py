@@ -89,7 +89,7 @@ def fmcd_conflicts(ranked: DataFrame, gap: int | None = None) -> DataFrame:
 
     Slots are a double's floor, so that keys within a rounding of a slot's edge may fall on either side."""
     fit = fmcd_fit(ranked, gap)
-    twice = (2 * F.col("key").cast("decimal(38,0)") - F.lit(fit["twice_anchor"])).cast("double")
+    twice = (2 * F.col("key").cast("decimal(38,0)") - F.lit(str(fit["twice_anchor"])).cast("decimal(38,0)")).cast("double")
     place = F.lit(fit["slope"]) * (twice / 2) + F.lit(fit["base"])
     slot = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(max(fit["capacity"] - 1, 0))).cast("long") if fit["n"] >= 3 else F.col("rank")
     counts = ranked.groupBy(slot.alias("slot")).agg(F.count("*").alias("c"))

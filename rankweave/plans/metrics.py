@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankweave.operators import hardness, keys, layout, store
+from rankweave.operators import hardness, keys, layout, smoothing, store
 from rankweave.sources.tables import event_times, order_store, ranked_events, ranked_orders, table
 
 from .registry import _D, _E, _G, _P, _R, _S, _SIZES, _delta, _gaps, _probes, _regions, codec_sizes, query, region_directory
@@ -263,3 +263,10 @@ FROM store s FULL JOIN live l USING (key) WHERE s.value IS DISTINCT FROM l.value
 def store_differences(spark, sf):
     """Where the store before and after its changes differ."""
     return store.differences(order_store(spark, sf), store.merged(order_store(spark, sf), _delta(spark, sf)), ["key"]).select("key", "side", F.size("fields").alias("fields"))
+
+
+@query()
+def smoothed_regions(spark, sf):
+    """What virtual points, up to a tenth of the keys, gain in each region of 1,024 event times."""
+    g = keys.regions(ranked_events(spark, sf), 1024)
+    return smoothing.smoothing_gain(smoothing.smooth_regions(g, 0.1))

@@ -58,3 +58,21 @@ def mad_spread(spark, sf):
     mid = keys.order_statistics(e, ["event_type"], "value", {"median": 0.5}).select("event_type", F.col("median").alias("mid"))  # a row per type
     away = e.join(mid, "event_type").select("event_type", "mid", F.abs(F.col("value") - F.col("mid")).alias("away"))
     return keys.order_statistics(away, ["event_type"], "away", {"median": 0.5}).join(mid, "event_type").select("event_type", F.round(1.4826 * F.col("median") / F.col("mid"), 6).alias("spread"))
+
+
+@query("""SELECT begin, event_type, count(*) AS n FROM (SELECT event_type, unnest([epoch_us(ts) // 3600000000 * 3600000000 - s * 3600000000 FOR s IN range(6)]) AS begin FROM events) GROUP BY ALL""")
+def stream_sliding_counts(spark, sf):
+    """Events per six hours, beginning every hour."""
+    rows = streaming.sliding(streaming.stream(spark, f"{sf}/events.parquet*"), "6 hours", "1 hour", "event_type")
+    return streaming.latest_updates(rows, ["begin", "event_type"], "sliding")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 0.3 ELSE 0.0 END AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j FROM events),
+h AS (SELECT user_id, cast(1 AS BIGINT) AS j, cast(w AS DOUBLE) AS heat, w > 0.5 AS is_hot, CASE WHEN w > 0.5 THEN 1 ELSE 0 END AS flips FROM e WHERE j = 1
+UNION ALL SELECT h.user_id, e.j, x.heat, y.now, h.flips + CASE WHEN y.now <> h.is_hot THEN 1 ELSE 0 END FROM h JOIN e ON e.user_id = h.user_id AND e.j = h.j + 1, LATERAL (SELECT h.heat * 0.7 + e.w AS heat) x, LATERAL (SELECT CASE WHEN h.is_hot THEN x.heat >= 0.25 ELSE x.heat > 0.5 END AS now) y)
+SELECT user_id AS key, max(j) AS ops, round(arg_max(heat, j), 6) AS heat, arg_max(is_hot, j) AS is_hot, cast(arg_max(flips, j) AS BIGINT) AS flips FROM h GROUP BY user_id""")
+def stream_write_heat(spark, sf):
+    """Which users' writes (purchases and sign-ups) run hot, as state over the stream."""
+    e = streaming.stream(spark, f"{sf}/events.parquet*").select("user_id", "event_id", F.col("event_type").isin("purchase", "signup").alias("write"))
+    out = streaming.latest_updates(streaming.write_heat(e, "user_id", "write", "event_id", weight=0.3), ["key"], "heat")
+    return out.select("key", "ops", F.round("heat", 6).alias("heat"), "is_hot", "flips")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rankweave.operators.keys import require_ascending
+from rankweave.sources.shared import written
 
 HEADER = 8  # bytes of the count
 SPLIT = 64 << 20  # bytes of a split
@@ -141,8 +142,10 @@ def write_keys(df: DataFrame, folder: str, width: int = 8, counted: bool = True,
         files.move(mine, name)
         yield pd.DataFrame({"path": [name], "keys": [n]})
 
+    files, at = _place(folder)
+    files.create_dir(at, recursive=True)  # there even if no key is
     rows = df.select(F.col(key).cast("decimal(20,0)").alias("key"))
-    return rows.repartitionByRange("key").sortWithinPartitions("key").mapInPandas(put, "path string, keys long")
+    return written(rows.repartitionByRange("key").sortWithinPartitions("key").mapInPandas(put, "path string, keys long"), "key-files")
 
 
 def write_sorted_distinct(df: DataFrame, folder: str, width: int = 8, key: str = "key") -> DataFrame:

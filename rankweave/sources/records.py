@@ -19,7 +19,7 @@ LOG_FIELDS = {
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (its place, from 0) and text of text files. A file is one task, as a line's place is known by reading up to it; logs are many and small."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankweave.sources.shared import shared_dir
 
@@ -45,3 +49,31 @@ def tumbling(events: DataFrame, width: str, by: str, late: str | None = None) ->
 def last_writes(changes: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """Per key the value of the greatest seq, and how many writes there were: the state of a store under upserts."""
     return changes.groupBy(F.col(key).alias("key")).agg(F.max_by(value, seq).alias("value"), F.count("*").alias("writes"))
+
+
+def sliding(events: DataFrame, width: str, step: str, by: str, late: str | None = None) -> DataFrame:
+    """Rows per window of event time that begins every `step`: each row counts in width / step windows. late: see tumbling."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if late else timed
+    return timed.groupBy(F.window("ts", width, step).alias("w"), by).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("begin"), by, "n")
+
+
+def write_heat(ops: DataFrame, key: str, write: str, seq: str, weight: float = 0.1, hot: float = 0.5, cool: float = 0.25) -> DataFrame:
+    """Per key after each batch: ops, heat, is_hot and flips. heat is a moving average of whether an operation writes (the boolean column
+    `write`), each new one with `weight`; a key turns hot above `hot` and cool again only below `cool`.
+
+    Operations of a key act in order of seq within a batch, so batches must come in that order too. The state is a row a key; a key's
+    rows of one batch are sorted in one task, and files_per_batch of stream() bounds a batch."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, heat, is_hot, flips = state.get if state.exists else (0, 0.0, False, 0)
+        for w in pd.concat(list(batches)).sort_values("seq")["w"].tolist():
+            heat = heat * (1 - weight) + weight * bool(w)
+            now = heat >= cool if is_hot else heat > hot
+            n, flips, is_hot = n + 1, flips + (now != is_hot), now
+        state.update((n, heat, is_hot, flips))
+        yield pd.DataFrame({"key": [k[0]], "ops": [n], "heat": [heat], "is_hot": [is_hot], "flips": [flips]})
+
+    rows = ops.select(F.col(key).cast("long").alias("key"), F.col(write).alias("w"), F.col(seq).cast("long").alias("seq"))
+    shape = "n long, heat double, is_hot boolean, flips long"
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, ops long, heat double, is_hot boolean, flips long", shape, "update", GroupStateTimeout.NoTimeout)

@@ -40,7 +40,7 @@ def test_segments_against_brute_force():
             while end < len(ks) and feasible(ks[at : end + 1], eps):
                 end += 1
             count, at = count + 1, end
-        assert hardness.segments(ks, eps) == count
+        assert hardness.least_segments([(k, i) for i, k in enumerate(ks)], eps) == count
 
 
 def test_store_against_dict(spark):
