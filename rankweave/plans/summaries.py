@@ -195,8 +195,9 @@ def throughput_trend(spark, sf):
 j AS (SELECT * FROM d, v, s, p) SELECT dataset, profile, count(*) AS jobs, cast(sum(CASE WHEN variant = 'raw' THEN 30 ELSE 45 END + CASE WHEN profile = 'mixed' THEN 20 ELSE 0 END) AS BIGINT) AS seconds FROM j WHERE NOT (dataset = 'osm' AND variant = 'packed' AND seed > 2) GROUP BY ALL""")
 def run_plan(spark, sf):
     """The product of data sets, variants, seeds and profiles less what is left out, with its cost. A plan has a few dozen jobs."""
-    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} {'long' if isinstance(values[0], int) else 'string'}")
-    j = one("dataset", ["books", "fb", "osm"]).crossJoin(one("variant", ["raw", "packed"])).crossJoin(one("seed", list(range(5)))).crossJoin(one("profile", ["read", "mixed"]))
+    j = spark.range(1)
+    for name, values in {"dataset": ["books", "fb", "osm"], "variant": ["raw", "packed"], "seed": list(range(5)), "profile": ["read", "mixed"]}.items():
+        j = j.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     j = j.filter("not (dataset = 'osm' and variant = 'packed' and seed > 2)")
     cost = F.when(F.col("variant") == "raw", 30).otherwise(45) + F.when(F.col("profile") == "mixed", 20).otherwise(0)
     return j.groupBy("dataset", "profile").agg(F.count("*").alias("jobs"), F.sum(cost).alias("seconds"))
