@@ -80,11 +80,12 @@ def drop_recurring_lines(df: DataFrame, depth: int = 3, min_words: int = 5, min_
     found = docs.join(small(sought, 2_000_000, F.size("sought")), "doc").select("lines", F.explode("sought").alias("s"))
     found = _keyed(found.select(F.get("lines", F.col("s.at")).alias("line"), F.col("s.docs").alias("docs"), F.col("s.of").alias("of")), depth, min_words, short)
     # A word at its place in a leaf is one number. Fields are no constants, and a leaf's lines share their leading words, so that neither needs a row.
-    split = F.split("line", " ")
-    lead = F.size(F.filter(F.slice(split, 1, depth), lambda w: w != FIELD))
-    numbers = F.transform(split, lambda w, i: F.when((i >= depth) & (w != FIELD), F.xxhash64(F.col("leaf"), i, w)))
-    places = found.select("hash", "docs", "of", F.size(split).alias("n"), lead.alias("lead"), F.explode(F.array_append(F.array_compact(numbers), F.lit(0).cast("long"))).alias("word"))
-    places = written(places, "places")  # 0: the line itself, whose other words may all be fields
+    found = found.select("leaf", "hash", "docs", "of", F.split("line", " ").alias("words"))
+    lead = F.size(F.filter(F.slice("words", 1, depth), lambda w: w != FIELD))
+    each = found.select("leaf", "hash", "docs", "of", F.size("words").alias("n"), lead.alias("lead"), F.posexplode("words").alias("at", "w"))
+    number = F.when(F.col("at") == 0, 0).when((F.col("at") >= depth) & (F.col("w") != FIELD), F.xxhash64("leaf", "at", "w")).cast("long")
+    places = each.select("hash", "docs", "of", "n", "lead", number.alias("word")).filter("word is not null")
+    places = written(places, "places")  # 0: the first word, which stands for the line itself, as its other words may all be fields
     common = places.filter("word <> 0").groupBy("word").agg(F.sum("docs").alias("with"), F.first("of").alias("of"))
     common = written(common.filter((F.col("with") >= min_docs) & (F.col("with") >= min_share * F.col("of"))).select("word"), "common")
     told = places.select("hash", "word", "n", "lead").filter("word <> 0").join(common, "word", "left_semi").select("hash", "word", F.lit(0).alias("n"), F.lit(0).alias("lead"))
