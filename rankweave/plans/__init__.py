@@ -1,3 +1,3 @@
 """plans of rankweave."""
 
-from . import metrics, profiles, scores, streams, summaries, traces  # noqa: F401  they add their queries to the registry
+from . import inference, metrics, profiles, scores, streams, summaries, traces  # noqa: F401  they add their queries to the registry
